@@ -27,6 +27,11 @@ def verify(pairs: DataFrame, members: DataFrame, check: Callable) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").mapInPandas(check, "a long, b long")
 
 
+def _shared(pairs: DataFrame, votes: int) -> DataFrame:
+    """The distinct pairs that occur votes times at least."""
+    return pairs.distinct() if votes == 1 else pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= votes).select("a", "b")
+
+
 def _large_buckets(left: DataFrame, members: DataFrame, block: Callable) -> DataFrame:
     """Links across components inside large buckets, by blocks of the clusters which these buckets form."""
     cluster = components(left.select(F.col("id").alias("a"), F.col("lead").alias("b")))
@@ -40,23 +45,24 @@ def _large_buckets(left: DataFrame, members: DataFrame, block: Callable) -> Data
     return cells.groupBy("cluster", "i", "j").applyInPandas(block, "a long, b long")
 
 
-def linked_components(buckets: DataFrame, members_of: Callable[[DataFrame], DataFrame], check: Callable, block: Callable) -> tuple[DataFrame, DataFrame]:
+def linked_components(buckets: DataFrame, members_of: Callable[[DataFrame], DataFrame], check: Callable, block: Callable, votes: int = 1) -> tuple[DataFrame, DataFrame]:
     """(id, component) of the linked ids but the least of each component, and the links (a, b) that were found.
 
     buckets: id and key. members_of: from a frame of ids to id, n and members (a binary payload). block: from a
-    frame of id, component, part and members to links between different components.
+    frame of id, component, part and members to links between different components. votes: how many buckets a pair
+    must share to be checked.
     """
     leads = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = cut(buckets.join(leads, "key"))
     members = cut(members_of(shared.select("id").distinct()))
-    links = cut(verify(shared.filter("id != lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct(), members, check))
+    links = cut(verify(_shared(shared.filter("id != lead").select(F.col("id").alias("a"), F.col("lead").alias("b")), votes), members, check))
     first = components(links)
     labelled = shared.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
     left = cut(labelled.join(mixed, "key", "left_semi"))
-    small = left.filter(F.col("size") <= SMALL).filter("id != lead").select("key", "id", "component")
+    small = left.filter(F.col("size") <= SMALL).select("key", "id", "component")
     pairs = small.select("key", F.col("id").alias("a"), F.col("component").alias("c")).join(small.select("key", F.col("id").alias("b"), F.col("component").alias("d")), "key")
-    pairs = pairs.filter("a < b and c != d").select("a", "b").distinct()
+    pairs = _shared(pairs.filter("a < b and c != d").select("a", "b"), votes)
     more = verify(pairs, members, check).unionByName(_large_buckets(left.filter(F.col("size") > SMALL), members, block))
     links = cut(links.unionByName(more))
     return components(links), links

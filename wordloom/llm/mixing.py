@@ -5,8 +5,8 @@ dependent rounding. Pairs of fractional documents exchange mass (words) at rando
 integral, so that expectations hold for each document and the sum of words for the source. Large documents
 go first, so that the one left over is small. The work is a
 reduction tree: groups of bounded size reduce to one fractional document each, and these meet in the next
-level, until one is left for each source, which goes to the nearer side. So a source misses its target by half
-a document at most.
+level, until one is left for each source, which goes to the nearer side; what this adds or lacks passes on to
+other documents of the last group. So a source misses its target by about a small document.
 
 Defined cases: null and empty texts have size 0 and are taken 0 times; rows of equal doc_id, source and
 size are pre-aggregated and share one decision; null sources are a source of their own, last in order;
@@ -118,14 +118,42 @@ def pivotal(p: list[float], mass: list[float], keys: list, seed: int) -> list[fl
     return p
 
 
+def settled(start: list[float], p: list[float], mass: list[float], close: float = 1e-3) -> list[float]:
+    """p with the last fraction rounded; its residual passes on to other documents until it is at most close times the sum.
+
+    Each step changes the one document, or exchanges the two, that bring the sum nearest to that of start. Only
+    documents that came in as fractions change.
+    """
+    p, m, s = np.array([float(x >= 0.5) for x in p]), np.array(mass), np.array(start)
+    free = np.flatnonzero((s > 0) & (s < 1))
+    over, enough = float(((p - s) * m).sum()), close * float((s * m).sum())
+    for _ in range(64):
+        if abs(over) <= enough:
+            break
+        on, off = ((x := free[p[free] == side])[np.argsort(m[x], kind="stable")] for side in (1, 0))
+        best: tuple = (abs(over), ())
+        for i in (*on, *off):
+            best = min(best, (abs(over + m[i] * (1 - 2 * p[i])), (i,)), key=lambda x: x[0])
+        if len(off):
+            for i in on:
+                at = int(np.searchsorted(m[off], m[i] - over))
+                for j in off[max(0, at - 1) : at + 1]:
+                    best = min(best, (abs(over - m[i] + m[j]), (i, j)), key=lambda x: x[0])
+        if not best[1]:
+            break
+        for i in best[1]:
+            over += m[i] * (1 - 2 * p[i])
+            p[i] = 1 - p[i]
+    return p.tolist()
+
+
 def _level(seed: int, last: bool):
     def reduce(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["mass", "doc_id", "size"], ascending=[False, True, True], na_position="last")
         keys = list(zip(g["source"], g["doc_id"].astype(str), g["size"], strict=True))
-        p = rounded(g["p"].tolist(), g["mass"].tolist(), keys, seed)
-        if last:
-            p = [float(x >= 0.5) for x in p]
-        return g.assign(p=p)
+        start, mass = g["p"].tolist(), g["mass"].tolist()
+        p = rounded(start, mass, keys, seed)
+        return g.assign(p=settled(start, p, mass) if last else p)
 
     return reduce
 

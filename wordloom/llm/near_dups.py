@@ -1,6 +1,6 @@
 """Near duplicates by MinHash: banded universal hash minima, exact verification, connected components.
 
-Method. A document's set holds its distinct 2-word shingles (ASCII-lower-cased). HASHES = BANDS * ROWS
+Method. A document's set holds its distinct k-word shingles (ASCII-lower-cased; k is 5 by default). HASHES = BANDS * ROWS
 universal hash minima are banded; two sets of similarity 0.8 share no band with probability
 (1 - 0.8**6)**40 < 6e-6. Documents of equal words form one class, which takes part once. In each bucket of
 a band every class is checked against the bucket's least member only; verified links are closed to
@@ -8,7 +8,7 @@ components. Pairs of one bucket whose components still differ are then all check
 pairs, in large ones as blocks of sets that are compared inside a task. So no bucket is capped and
 no pair list of a large group is ever made.
 
-Defined cases: null or wordless texts have an empty set and link with nothing; one word gives one
+Defined cases: null or wordless texts have an empty set and link with nothing; fewer than k words give one
 shingle; rows with the same doc_id count as one document (if their texts differ they are linked); a null
 doc_id stays, and is kept unless an equal text has an id; extra columns are ignored.
 """
@@ -156,7 +156,7 @@ def _block(threshold: int):
     return compare
 
 
-def near_duplicates(docs: DataFrame, k: int = 2, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, bands: int = BANDS, rows: int = ROWS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable), kept (it is the least), one row for each of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(docs.mapInPandas(_signer(k, bands, rows), "doc_id long, word_hash binary, n_shingles long, bands array<long>"))

@@ -57,7 +57,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
 def op7_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
