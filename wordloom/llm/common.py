@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,11 +45,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wordloom-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the session's checkpoint folder, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder as Parquet and read again, so that a lost executor costs no recomputation.
+
+    Compressed columns take a fraction of what checkpoint() writes. :func:`forget` removes a table early; the others
+    stay until the owner of the folder clears it.
+    """
+    path = shared_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the table of a frame from :func:`cut` that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._cut)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, forget
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every node that has an edge and isn't the least of its component.
 
     edges: columns a and b of long ids; order, repetition and self-loops don't matter, nulls are ignored.
-    Each round is checkpointed; rounds end when the edge set no longer changes (a logarithmic number).
+    Each round is written to the shared folder; rounds end when the edge set no longer changes (a logarithmic number).
     An empty edge table gives an empty result.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
@@ -36,4 +36,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == seen or not state[0]:
             return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
         seen = state
-        e = cut(_small_star(_large_star(e).distinct()).distinct())
+        before, e = e, cut(_small_star(_large_star(e).distinct()).distinct())
+        forget(before)
