@@ -32,25 +32,25 @@ def _shared(pairs: DataFrame, votes: int) -> DataFrame:
     return pairs.distinct() if votes == 1 else pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes")).filter(F.col("votes") >= votes).select("a", "b")
 
 
-def _large_buckets(left: DataFrame, members: DataFrame, block: Callable) -> DataFrame:
+def _large_buckets(left: DataFrame, members: DataFrame, block: Callable, block_rows: int) -> DataFrame:
     """Links across components inside large buckets, by blocks of the clusters which these buckets form."""
     cluster = components(left.select(F.col("id").alias("a"), F.col("lead").alias("b")))
     own = left.select("id", "component").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id", "left")
     own = own.withColumn("cluster", F.coalesce("cluster", "id")).join(members, "id")
     sizes = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("terms"))
-    parts = sizes.select("cluster", F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("terms") / BLOCK_PARTS)).cast("int").alias("parts"))
+    parts = sizes.select("cluster", F.greatest(F.lit(1), F.ceil(F.col("rows") / block_rows), F.ceil(F.col("terms") / BLOCK_PARTS)).cast("int").alias("parts"))
     cells = own.join(parts, "cluster").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = cells.select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "component", "part", "members")
     return cells.groupBy("cluster", "i", "j").applyInPandas(block, "a long, b long")
 
 
-def linked_components(buckets: DataFrame, members_of: Callable[[DataFrame], DataFrame], check: Callable, block: Callable, votes: int = 1) -> tuple[DataFrame, DataFrame]:
+def linked_components(buckets: DataFrame, members_of: Callable[[DataFrame], DataFrame], check: Callable, block: Callable, votes: int = 1, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """(id, component) of the linked ids but the least of each component, and the links (a, b) that were found.
 
     buckets: id and key. members_of: from a frame of ids to id, n and members (a binary payload). block: from a
     frame of id, component, part and members to links between different components. votes: how many buckets a pair
-    must share to be checked.
+    must share to be checked. block_rows: members to a block side.
     """
     leads = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = cut(buckets.join(leads, "key"))
@@ -63,6 +63,6 @@ def linked_components(buckets: DataFrame, members_of: Callable[[DataFrame], Data
     small = left.filter(F.col("size") <= SMALL).select("key", "id", "component")
     pairs = small.select("key", F.col("id").alias("a"), F.col("component").alias("c")).join(small.select("key", F.col("id").alias("b"), F.col("component").alias("d")), "key")
     pairs = _shared(pairs.filter("a < b and c != d").select("a", "b"), votes)
-    more = verify(pairs, members, check).unionByName(_large_buckets(left.filter(F.col("size") > SMALL), members, block))
+    more = verify(pairs, members, check).unionByName(_large_buckets(left.filter(F.col("size") > SMALL), members, block, block_rows))
     links = cut(links.unionByName(more))
     return components(links), links
