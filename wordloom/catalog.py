@@ -282,7 +282,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_LAB}, r AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0 AS x, rank() OVER (PARTITION BY lang ORDER BY quality) + (count(*) OVER (PARTITION BY lang, quality) - 1) / 2.0 AS y FROM l)
-SELECT lang, count(*) AS n, round(corr(x, y), 6) AS rho FROM r GROUP BY lang""")
+SELECT lang, count(*) AS n, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) AS rho FROM r GROUP BY lang""")
 def spearman_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.spearman(labelled(spark, sf_dir), "n_chars", "quality", ["lang"]).withColumn("rho", F.round("rho", 6))
 
@@ -290,12 +290,12 @@ def spearman_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TT = f"WITH {_LAB}, s AS (SELECT lang, avg(n_chars) FILTER (toxic = 0) AS m0, avg(n_chars) FILTER (toxic = 1) AS m1, var_samp(n_chars) FILTER (toxic = 0) AS v0, var_samp(n_chars) FILTER (toxic = 1) AS v1, count(*) FILTER (toxic = 0) AS n0, count(*) FILTER (toxic = 1) AS n1 FROM l GROUP BY lang)"
 
 
-@query(_TT + " SELECT lang, round((m0 - m1) / sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2) * (1.0 / n0 + 1.0 / n1)), 6) AS t, CAST(n0 + n1 - 2 AS DOUBLE) AS dof FROM s")
+@query(_TT + " SELECT lang, round((m0 - m1) / nullif(sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / nullif(n0 + n1 - 2, 0) * (1.0 / nullif(n0, 0) + 1.0 / nullif(n1, 0))), 0), 6) AS t, CAST(n0 + n1 - 2 AS DOUBLE) AS dof FROM s")
 def ttest_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.t_test(labelled(spark, sf_dir), "n_chars", "toxic", ["lang"]).withColumn("t", F.round("t", 6))
 
 
-@query(_TT + " SELECT lang, round((m0 - m1) / sqrt(v0 / n0 + v1 / n1), 6) AS t, round((v0 / n0 + v1 / n1) * (v0 / n0 + v1 / n1) / (v0 / n0 * v0 / n0 / (n0 - 1) + v1 / n1 * v1 / n1 / (n1 - 1)), 4) AS dof FROM s")
+@query(_TT + " SELECT lang, round((m0 - m1) / nullif(sqrt(v0 / n0 + v1 / n1), 0), 6) AS t, round((v0 / n0 + v1 / n1) * (v0 / n0 + v1 / n1) / nullif(v0 / n0 * v0 / n0 / nullif(n0 - 1, 0) + v1 / n1 * v1 / n1 / nullif(n1 - 1, 0), 0), 4) AS dof FROM s")
 def ttest_welch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.t_test(labelled(spark, sf_dir), "n_chars", "toxic", ["lang"], pooled=False).withColumns({"t": F.round("t", 6), "dof": F.round("dof", 4)})
 

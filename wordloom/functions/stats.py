@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _ratio(a: Column, b: Column) -> Column:
+    """a / b, null where b is 0."""
+    return F.when(b != 0, a / b)
+
+
 def average_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """value, group and average rank: from counts of distinct values, so that only these are ordered."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
@@ -17,24 +22,24 @@ def average_ranks(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """by, n, rho."""
+    """by, n, rho; null where one side has a single value."""
     df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     rx, ry = (average_ranks(df, c, by).withColumnRenamed("rank", f"_{k}") for c, k in ((x, "rx"), (y, "ry")))
-    return df.join(rx, [*by, x]).join(ry, [*by, y]).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    return df.join(rx, [*by, x]).join(ry, [*by, y]).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), _ratio(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("rho"))
 
 
 def t_test(df: DataFrame, value: str, flag: str, by: list[str], pooled: bool = True) -> DataFrame:
-    """by, t, dof for values with flag 0 against 1: equal variances (pooled), or Welch's."""
+    """by, t, dof for values with flag 0 against 1: equal variances (pooled), or Welch's; null without spread or with too few values."""
     s = df.groupBy(*by).agg(*[f(F.when(F.col(flag) == k, F.col(value).cast("double"))).alias(f"{n}{k}") for k in (0, 1) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))])
-    a, b = F.col("v0") / F.col("n0"), F.col("v1") / F.col("n1")
+    a, b = _ratio(F.col("v0"), F.col("n0")), _ratio(F.col("v1"), F.col("n1"))
     if pooled:
         dof = (F.col("n0") + F.col("n1") - 2).cast("double")
-        var = ((F.col("n0") - 1) * F.col("v0") + (F.col("n1") - 1) * F.col("v1")) / dof
-        error = F.sqrt(var * (1 / F.col("n0") + 1 / F.col("n1")))
+        var = _ratio((F.col("n0") - 1) * F.col("v0") + (F.col("n1") - 1) * F.col("v1"), dof)
+        error = F.sqrt(var * (_ratio(F.lit(1.0), F.col("n0")) + _ratio(F.lit(1.0), F.col("n1"))))
     else:
-        dof = (a + b) * (a + b) / (a * a / (F.col("n0") - 1) + b * b / (F.col("n1") - 1))
+        dof = _ratio((a + b) * (a + b), _ratio(a * a, F.col("n0") - 1) + _ratio(b * b, F.col("n1") - 1))
         error = F.sqrt(a + b)
-    return s.select(*by, ((F.col("m0") - F.col("m1")) / error).alias("t"), dof.alias("dof"))
+    return s.select(*by, _ratio(F.col("m0") - F.col("m1"), error).alias("t"), dof.alias("dof"))
 
 
 def softmax(x: Column, theta: float, by: list[str]) -> Column:

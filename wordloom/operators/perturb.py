@@ -7,6 +7,7 @@ random order until ceil(n * level) words have changed. Equal keys give equal res
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,21 +123,22 @@ def perturb(text: Column, method: str, level: float, key: Column) -> Column:
     return detokenized(let(changes(word_tokens(text), own, METHODS[method]), applied))
 
 
+def _drawn(names: Sequence[str], level: float, key: Column, text: Column) -> Column:
+    """The text after one of the methods, by a keyed draw."""
+    which, new = pick(len(names), "rand", key), text
+    for i, m in enumerate(names):
+        new = F.when(which == i, perturb(text, m, level, key)).otherwise(new)
+    return new
+
+
 def composed(text: Column, attacks: Sequence[tuple[str, float]], key: Column) -> Column:
     """Attacks one after the other; rand is one of the methods by a keyed draw, intrude only as the last."""
     for step, (method, level) in enumerate(attacks):
         own = F.concat_ws("|", F.lit(str(step)), key)
         if method == "rand":
             names = [m for m in (*METHODS, "segmentation") if m != "intrude" or step == len(attacks) - 1]
-            which = pick(len(names), "rand", own)
-
-            def drawn(t: Column, names: list[str] = names, which: Column = which, own: Column = own, level: float = level) -> Column:
-                new = t
-                for i, m in enumerate(names):
-                    new = F.when(which == i, perturb(t, m, level, own)).otherwise(new)
-                return new
-
-            text = let(text, drawn)
+            draw = partial(_drawn, names, level, own)
+            text = let(text, lambda t: draw(t))  # noqa: B023 (called at once)
         else:
             text = perturb(text, method, level, own)
     return text
