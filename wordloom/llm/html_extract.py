@@ -1,10 +1,10 @@
 """Main text of HTML pages by a site style tree.
 
 The DOMs of one host are merged into a style tree: for every element path, the pages that hold it, the child
-sequences (presentations) with which it occurs there, and the hashes of its own text (contents). An element
+sequences (presentations) with which it occurs there, and the hashes of its branch's text (contents). An element
 that many pages show in the same way with the same content has low entropy, so low importance, and its
-branch is removed from the pages. Importance combines presentation and content entropy, a child's counting
-by DAMPING. Elements whose tag, role or class says what they are (navigation, footers, adverts, forms,
+branch is removed from the pages. Importance is the larger of presentation and content entropy, the latter
+times DAMPING; as content is that of the whole branch, an element lives as long as something below it varies. Elements whose tag, role or class says what they are (navigation, footers, adverts, forms,
 comments, ...) have no importance from the start; article and main elements have full importance, and a page
 that has one is read from it alone. Identical pages of a host are merged once, so copies don't make an
 article look like a template.
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of a host below which nothing is called a template; importance below which a branch goes; weight of a level.
+#: Pages of a host below which nothing is called a template; importance below which a branch goes; weight of content.
 MIN_PAGES, THRESHOLD, DAMPING = 8, 0.25, 0.9
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -145,18 +145,25 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def branches(root: Node) -> Iterator[tuple[int, int, int, int]]:
-    """(path, parent, presentation, content) of the elements outside noise and main nodes."""
-    todo = [(root, "", 0)]
+def branches(root: Node) -> Iterator[tuple[int, int, int]]:
+    """(path, presentation, content) of the elements outside noise and main nodes. Content is the text of the whole branch."""
+    found: list[tuple[int, int, int, str]] = []  # path, place of the parent, presentation, own text
+    todo = [(root, "", -1)]
     while todo:
         node, path, above = todo.pop()
         if node.noise or node.main:
             continue
         path += "/" + node.kind
-        own = _hash(path)
         kids = [x for x in node.items if isinstance(x, Node) and not x.noise]
-        yield own, above, _hash(">".join(dict.fromkeys(k.kind for k in kids))), _hash(" ".join(" ".join(x for x in node.items if isinstance(x, str)).split()))
-        todo += [(k, path, own) for k in kids]
+        todo += [(k, path, len(found)) for k in kids]
+        found.append((_hash(path), above, _hash(">".join(dict.fromkeys(k.kind for k in kids))), " ".join(" ".join(x for x in node.items if isinstance(x, str)).split())))
+    below: list[list[int]] = [[] for _ in found]
+    for i in range(len(found) - 1, -1, -1):  # children stand after their parent
+        path, above, presentation, text = found[i]
+        content = _hash(f"{text}>{below[i]}")
+        if above >= 0 and (text or below[i]):
+            below[above].append(content)
+        yield path, presentation, content
 
 
 def extract(source: str | None, removed: frozenset[int] = frozenset()) -> str:
@@ -209,13 +216,13 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             root = parse(source)
             if not _main_nodes(root):
                 out += [(_hash(host_of(url)), _hash(source), *x) for x in branches(root)]
-        yield pd.DataFrame(out, columns=["host", "page", "path", "parent", "presentation", "content"], dtype="int64")
+        yield pd.DataFrame(out, columns=["host", "page", "path", "presentation", "content"], dtype="int64")
 
 
 def template_paths(pages: DataFrame) -> DataFrame:
     """(host, path) of low importance in the style trees of hosts."""
-    seen = pages.select("url", "html").mapInPandas(_features, "host long, page long, path long, parent long, presentation long, content long").distinct()
-    pages_with = seen.groupBy("host", "path").agg(F.count_distinct("page").alias("pages"), F.max("parent").alias("parent"))
+    seen = pages.select("url", "html").mapInPandas(_features, "host long, page long, path long, presentation long, content long").distinct()
+    pages_with = seen.groupBy("host", "path").agg(F.count_distinct("page").alias("pages"))
 
     def entropy(c: str, name: str) -> DataFrame:
         """Entropy over the element's variants, to the base of their number in the pages: 1 if every page has its own, 0 if all are alike."""
@@ -224,9 +231,7 @@ def template_paths(pages: DataFrame) -> DataFrame:
         return total.select("host", "path", F.when(F.col("t") > 1, F.greatest(F.lit(0.0), 1 - F.col("s") / (F.col("t") * F.log("t")))).otherwise(1.0).alias(name))
 
     style = pages_with.join(entropy("presentation", "presentation"), ["host", "path"]).join(entropy("content", "content"), ["host", "path"])
-    own = style.withColumn("importance", F.greatest("presentation", F.lit(DAMPING) * F.col("content")))
-    below = own.select("host", F.col("parent").alias("path"), F.col("importance").alias("child")).groupBy("host", "path").agg(F.max("child").alias("child"))
-    whole = own.join(below, ["host", "path"], "left").withColumn("importance", F.greatest("importance", F.lit(DAMPING) * F.coalesce("child", F.lit(0.0))))
+    whole = style.withColumn("importance", F.greatest("presentation", F.lit(DAMPING) * F.col("content")))
     return whole.filter((F.col("pages") >= MIN_PAGES) & (F.col("importance") < THRESHOLD)).select("host", "path")
 
 

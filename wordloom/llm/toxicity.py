@@ -5,7 +5,7 @@ features with the largest ratios are kept, and logistic regression is fitted on
 rows for training are a bounded sample: a hash of doc_id keeps about SAMPLE of them if there are more.
 Scoring covers every text as a whole.
 
-Defined cases: null and empty texts have no features and get the score of the intercept; rows without a
+Defined cases: null and empty texts have no features and get the score of the intercept, but are kept by keep(); rows without a
 training label are only scored; repeated rows and null ids are scored as they stand; without training rows of
 both classes every score is the share of the toxic label (0 if there is none); extra columns are ignored.
 """
@@ -133,12 +133,12 @@ def score(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of docs (text, ...) whose score is below the cutoff."""
+    """The rows of docs (text, ...) whose score is below the cutoff, and those without text, which say nothing."""
     held = docs.sparkSession.sparkContext.broadcast((model.lookup, model.weights, model.intercept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*held.value)
         for b in batches:
-            yield b.filter(pa.array([own.score(t) < cutoff for t in b.column("text").to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([not t or not t.strip() or own.score(t) < cutoff for t in b.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import itertools
 
-_GOOD = "garden library harbour physics museum rivers bakery history ocean valley forest school concert bridge journal kitchen archive village weather climate atlas cinema orchard village2 poetry council railway meadow lantern theatre".split()
-_BAD = "casino-win free-bets cheap-pills ads-track win-cash-now best-loans-24 hot-singles-4u click-bonus poker-king77 rx-discount replica-watch crypto-double track-pixel banner-ads4 easy-money-99 slots-vip free-gift-cards debt-relief-now pay-day-fast lucky-spin888".split()
+_GOOD = "garden library harbour physics museum rivers bakery history ocean valley forest school concert bridge journal kitchen archive village weather climate atlas cinema orchard village2 poetry council railway meadow lantern theatre city-library old-mill-press".split()
+_BAD = "mega-jackpot bonus-wager pills-direct clix-beacon3 win-cash-now best-loans-24 hot-singles-4u click-bonus poker-king77 rx-discount replica-watch crypto-double track-pixel banner-ads4 easy-money-99 slots-vip free-gift-cards debt-relief-now pay-day-fast lucky-spin888".split()
 _TOPS = "example.com example.net example.org".split()
 _GOOD_PATHS = ("/en/{n}", "/de/{n}.html", "/fr/{n}/", "/en/{n}#top", "/es/{n}?page=2&ref=x", "/en/{n}?utm_source=feed", "/about/team/{n}", "/")
 _BAD_PATHS = ("/en/{n}", "/de/{n}.html", "/es/{n}/", "/en/{n}#top", "/fr/{n}?page=2&ref=x", "/en/{n}?utm_source=feed", "/go?id={n}&aff=77&sub=9", "/")
