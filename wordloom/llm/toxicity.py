@@ -56,7 +56,7 @@ def _presence(lookup: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [present(t, lookup) for t in b["text"]]
-            yield pd.DataFrame({"toxic": b["toxic"], "features": [r.astype("<u2").tobytes() for r in rows]})
+            yield pd.DataFrame({"key": b["key"], "toxic": b["toxic"], "features": [r.astype("<u2").tobytes() for r in rows]})
 
     return run
 
@@ -66,22 +66,23 @@ def present(text: str | None, lookup: np.ndarray) -> np.ndarray:
     return np.unique(f[f >= 0])
 
 
-def logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, steps: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights (scale included) and intercept by full-batch Adam."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    col = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
-    val = scale[col]
-    w, b, base = np.zeros(len(scale)), 0.0, float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
-    b = np.log(base / (1 - base))
-    m, v = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
-    for t in range(1, steps + 1):
-        z = np.bincount(at, val * w[col], len(rows)) + b
-        e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.append(np.bincount(col, val * e[at], len(scale)) / len(y) + decay * w, e.mean())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return w * scale, float(b)
+def logistic(col: np.ndarray, offset: np.ndarray, y: np.ndarray, scale: np.ndarray, epochs: int = 16, batch: int = 128, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights (scale included) and intercept by Adam over batches of rows in order; the features of row i are col[offset[i]:offset[i + 1]]."""
+    base = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+    w, n = np.append(np.zeros(len(scale)), np.log(base / (1 - base))), len(y)
+    m, v, t = np.zeros(len(w)), np.zeros(len(w)), 0
+    for epoch in range(max(epochs, -(-300 * batch // max(n, 1)))):
+        rate = 0.03 / (1 + epoch / 3)
+        for at in range(0, n, batch):
+            to, t = min(n, at + batch), t + 1
+            own = col[offset[at] : offset[to]]
+            row = np.repeat(np.arange(to - at), np.diff(offset[at : to + 1]))
+            z = np.bincount(row, (scale * w[:-1])[own], to - at) + w[-1]
+            e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at:to]
+            g = np.append(np.bincount(own, e[row], len(scale)) * scale / (to - at) + decay * w[:-1], e.mean())
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w[:-1] * scale, float(w[-1])
 
 
 class Model:
@@ -105,17 +106,21 @@ def train(labelled: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -
     if n > sample:
         labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * sample / n)))
     counts = labelled.mapInPandas(_frequencies, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).filter("neg + pos >= 4")
-    held = counts.toPandas()  # at most BUCKETS rows
-    p, q = held["pos"] + 1.0, held["neg"] + 1.0
+    held = counts.select(*[F.col(c).cast("int").alias(c) for c in ("bucket", "neg", "pos")]).toArrow()  # at most BUCKETS rows of 12 bytes
+    bucket, with_neg, with_pos = (held.column(c).to_numpy() for c in ("bucket", "neg", "pos"))
+    p, q = with_pos + 1.0, with_neg + 1.0
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     share = np.log((p / (pos + 2)) / (q / (n - pos + 2)))
-    worth = np.abs(share) * np.sqrt(held["pos"] + held["neg"])
-    best = np.lexsort((held["bucket"], -worth))[:features]
+    worth = np.abs(share) * np.sqrt(with_pos + with_neg)
+    best = np.lexsort((bucket, -worth))[:features]
     lookup = empty
-    lookup[held["bucket"].to_numpy()[best]] = np.arange(len(best))
-    data = labelled.mapInPandas(_presence(lookup), "toxic int, features binary").collect()
-    rows = [np.frombuffer(r.features, "<u2").astype(np.int32) for r in data]
-    weights, intercept = logistic(rows, np.array([r.toxic for r in data], float), ratio.to_numpy()[best])
+    lookup[bucket[best]] = np.arange(len(best))
+    keyed = labelled.select(F.xxhash64("doc_id", "text").alias("key"), "text", "toxic")
+    data = keyed.mapInPandas(_presence(lookup), "key long, toxic int, features binary").toArrow()  # 2 bytes a feature
+    order = np.lexsort((data.column("toxic").to_numpy(), data.column("key").to_numpy()))  # the same whatever the partitions
+    rows = [np.frombuffer(data.column("features")[int(i)].as_buffer(), "<u2") for i in order]
+    offset = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    weights, intercept = logistic(np.concatenate(rows), offset, data.column("toxic").to_numpy()[order].astype(float), ratio[best])
     return Model(lookup, weights, intercept)
 
 
