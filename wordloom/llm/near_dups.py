@@ -28,7 +28,7 @@ from .common import ascii_lower, cut, words_of
 from .linkage import linked_components
 
 BANDS, ROWS, THRESHOLD = 40, 6, 80
-_MEMO = 1_000_000
+_MEMO = 250_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 

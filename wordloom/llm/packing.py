@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 CAPACITY, END_ID = 2048, 1
 #: Documents to a group of remainders, and the share of windows by which the count may rise before pieces are cut.
 GROUP_DOCS, SLACK = 384, 0.008
-#: Entries of a memo; texts with more distinct words are only slower.
-_MEMO = 700_000
+#: Entries of the memos (about 200 bytes each, in every Python worker); texts with more distinct words are only slower.
+_WORD_MEMO, _CHUNK_MEMO = 100_000, 250_000
 PIECES = "doc string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _COLUMNS = [c.split(" ")[0] for c in PIECES.split(", ")]
 
@@ -45,7 +45,7 @@ class _Word(dict):
     def __missing__(self, word: str) -> bytes:
         form = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
         v = array("H", [t.id for t in self.split(form)]).tobytes()
-        if len(self) < _MEMO:
+        if len(self) < _WORD_MEMO:
             self[word] = v
         return v
 
@@ -69,7 +69,7 @@ class _Chunk(dict):
             v = b"".join(map(self.word.__getitem__, _RUNS(chunk.lower())))
         else:
             v = array("H", self.encode(chunk, add_special_tokens=False).ids).tobytes()
-        if len(self) < _MEMO and len(chunk) < 200:
+        if len(self) < _CHUNK_MEMO and len(chunk) < 200:
             self[chunk] = v
         return v
 
