@@ -325,6 +325,25 @@ def test_image_copies_are_linked(spark):
     assert got[300].component_id == 0 and got[301].component_id == 301 and got[303].component_id == 302
 
 
+def test_noisy_and_rescaled_copies_are_compared(spark):
+    import pandas as pd
+
+    r = np.random.default_rng(1)
+    base = [media.resize(r.random((8, 8)) * 255, 48, 48).round().astype(np.uint8) for _ in range(12)]
+    edited = [np.clip(b + r.normal(0, 6, b.shape), 0, 255).astype(np.uint8) for b in base]
+    edited += [media.resize(b.astype(float), 40, 40).round().astype(np.uint8) for b in base]
+    edited += [np.clip(media.resize(b[3:, 4:].astype(float), 52, 50) + r.normal(0, 3, (52, 50)), 0, 255).round().astype(np.uint8) for b in base]
+    images = base + edited
+    d = [media.descriptors(x) for x in images]
+    linkable = [(i, j) for j in range(len(d)) for i in range(j) if media.agree(d[i], d[j]) >= max(media.MIN_AGREE, media.SHARE * min(len(d[i]), len(d[j])))]
+    rows = [(i, *x.shape, x.tobytes()) for i, x in enumerate(images)]
+    got = {x.id: x.component_id for x in media.image_copies(spark.createDataFrame(rows, "id long, height int, width int, pixels binary")).collect()}
+    assert len(linkable) >= 30 and np.mean([got[i] == got[j] for i, j in linkable]) >= 0.9
+    cell = pd.DataFrame({"id": [0, 1], "component": [0, 1], "part": [0, 0]})
+    alone = [len(media._block(cell.assign(members=[d[i].tobytes(), d[j].tobytes()]))) for i, j in linkable]
+    assert np.mean(alone) >= 0.9  # each pair on its own, not by way of others
+
+
 def test_cells_of_two_parts_link_between_them():
     import pandas as pd
 
