@@ -209,6 +209,18 @@ def test_field_adds_spans_and_keeps_base(spark):
     assert out[0].text == "x [EMAIL]" and out[1].text is None
 
 
+def test_parts_hold_all_that_whole_texts_give(monkeypatch):
+    field, r = pii.train(pii_labels.labelled_table()), random.Random(3)
+    fixed = ["10[.]0[.]0[.]1", "8 . 8 . 8 . 8", "127(.)0(.)0(.)1", "10 . 20 . 3 . 4"]
+    made = [r.choice((" . ", "[.]", "(.)")).join(str(r.randint(0, n)) for _ in range(4)) for n in (9, 99, 255) for _ in range(100)]
+    texts = [f"{' '.join(r.choice(pii_labels._WORDS) for _ in range(k))} {x} and so on" for x in fixed + made for k in (3, 30)]
+    assert all(pii._parts(x) for x in fixed)
+    near = [every for _, every in pii.found(texts, field)]
+    monkeypatch.setattr(pii, "_parts", lambda t: [(0, len(t))])
+    whole = [every for _, every in pii.found(texts, field)]
+    assert near == whole and sum(map(bool, whole)) > 100
+
+
 def test_viterbi_equals_brute_force():
     r = np.random.default_rng(0)
     e, move = r.normal(size=(1, 4, 3)), r.normal(size=(3, 3))

@@ -3,7 +3,8 @@
 The patterns find plain e-mail addresses, ip addresses, card and phone numbers. The field is trained from a
 small labelled table (pii_labels) and adds spans that the patterns miss, such as numbers without a country code and addresses with
 written-out signs. It is decoded by Viterbi in numpy batches, over the parts of a text near a sign that every entity must have (an
-at sign, written out or not, or digits): farther words can't belong to an entity.
+at sign, written out or not, seven digits, or four short numbers with only signs or a written-out dot between them): words farther than 48 characters from one
+aren't read.
 
 Defined cases: null and empty texts have no spans; repeated rows and null ids are treated row by row; digits are ASCII; very long
 runs are scanned in linear time; extra columns are ignored; an empty table gives an empty result.
@@ -76,7 +77,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\s\w]|_|[^\W_]")
-_SIGN = re.compile(r"@|[(\[{]\s?at\s?[)\]}]|[0-9](?:[\s().\-/\[\]]{0,3}[0-9]){6,}", re.I)
+_SIGN = re.compile(r"@|[(\[{]\s?at\s?[)\]}]|[0-9](?:[\s().\-/\[\]]{0,3}[0-9]){6,}|[0-9]{1,3}(?:(?:\W{1,7}|\W{0,3}dot\W{0,3})[0-9]{1,3}){3}", re.I)
 _ADDRESS = re.compile(r"[\w.%+-]+(?:@|\s@\s|\s?[(\[{]\s?at\s?[)\]}]\s?)[\w-]+(?:\s?(?:\.|[(\[{]\s?dot\s?[)\]}]|\bdot\b)\s?[\w-]+)+", re.I)
 _NEAR = 48
 _LEXICON = {w: i + 1 for i, w in enumerate("at dot com org net tel phone call mobile fax mail email e contact card visa ip host address version page section".split())}
@@ -138,7 +139,9 @@ class Field:
                 to += 1
             batch = order[at:to]
             x = _padded([sequences[i] for i in batch])
-            for i, path in zip(batch, viterbi(self.emissions(x), self.move, [len(sequences[i]) for i in batch]), strict=True):
+            e = self.emissions(x)
+            e[:, 0] += _START
+            for i, path in zip(batch, viterbi(e, self.move, [len(sequences[i]) for i in batch]), strict=True):
                 out[i] = path
             at = to
         return out
@@ -172,6 +175,8 @@ def viterbi(e: np.ndarray, move: np.ndarray, lengths: Sequence[int]) -> list[np.
     return out
 
 
+#: No sequence starts inside an entity, in training and in decoding.
+_START = np.array([-1e4 if label[0] == "I" else 0.0 for label in LABELS])
 _BAR = np.array([[0.0 if b[0] != "I" or (a != "O" and a[2:] == b[2:]) else -1e4 for b in LABELS] for a in LABELS])
 
 
