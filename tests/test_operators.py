@@ -194,6 +194,19 @@ def test_shuffled_words_rank_high():
 
 # ---- posterior ----
 
+def test_fifth_word_of_the_prior_can_win():
+    known = ["cot", "cut", "cat", "cab", "car", "can", "cap"]
+    w = prior.Words(known, {x: i for i, x in enumerate(known)})
+    slots = [s for t in ("the", "ct", "sat") for s in ([[(t, 1.0)]] if t != "ct" else prior.word_hypotheses(t, w, prior.Config())[0][2])]
+    assert {x for x, _ in slots[1]} == set(known)
+    last = slots[1][-1][0]
+    p = posterior.Bigrams({("the", last): 10**6, (last, "sat"): 10**6, ("the", "x"): 1})
+    after = posterior.slot_posterior(slots, p, theta=1.0)
+    assert max(after[1], key=lambda c: c[1])[0] == last
+    scores = p.slot_scores(slots, 1, known)
+    assert scores == pytest.approx([p.log("the", x) + p.log(x, "sat") for x in known])
+
+
 def test_posterior_prefers_known_pairs():
     p = posterior.Bigrams({("<s>", "the"): 5, ("the", "cat"): 9, ("cat", "</s>"): 5, ("the", "mat"): 1})
     slots = [[("the", 1.0)], [("mat", 0.5), ("cat", 0.5)]]

@@ -6,6 +6,7 @@ anything that has slot_scores and sentence_score.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator, Sequence
 from typing import Protocol
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.chars import let
-from .prior import Slot, softmax
+from .prior import Config, Slot, readings, softmax
 
 #: Distinct pairs of words that a bigram provider may hold on the driver and in a task.
 MOST_PAIRS = 2_000_000
@@ -34,8 +35,11 @@ class Bigrams:
     def __init__(self, pairs: dict[tuple[str, str], int], k: float = 0.1) -> None:
         self.pairs, self.k = pairs, k
         self.left: dict[str, int] = {}
-        for (a, _), n in pairs.items():
+        self.next: dict[str, dict[str, int]] = {}
+        self.last: dict[str, dict[str, int]] = {}
+        for (a, b), n in pairs.items():
             self.left[a] = self.left.get(a, 0) + n
+            self.next.setdefault(a, {})[b] = self.last.setdefault(b, {})[a] = n
         self.size = max(1, len({b for _, b in pairs}))
 
     def log(self, a: str, b: str) -> float:
@@ -44,7 +48,18 @@ class Bigrams:
     def slot_scores(self, slots: Sequence[Slot], at: int, words: Sequence[str]) -> list[float]:
         before = slots[at - 1] if at else [("<s>", 1.0)]
         after = slots[at + 1] if at + 1 < len(slots) else [("</s>", 1.0)]
-        return [sum(p * self.log(a, w) for a, p in before) + sum(p * self.log(w, b) for b, p in after) for w in words]
+        none, rest = math.log(self.k), self.k * self.size
+        start = sum(p * (none - math.log(self.left.get(a, 0) + rest)) for a, p in before)
+        mass = sum(p for _, p in after)
+        known = [(d, p) for d, p in [*((self.next.get(a), p) for a, p in before), *((self.last.get(b), p) for b, p in after)] if d]
+        out = []
+        for w in words:
+            score = start + mass * (none - math.log(self.left.get(w, 0) + rest))
+            for d, p in known:
+                if w in d:
+                    score += p * (math.log(d[w] + self.k) - none)
+            out.append(score)
+        return out
 
     def sentence_score(self, words: Sequence[str]) -> float:
         """Minus the perplexity."""
@@ -67,32 +82,51 @@ def bigram_provider(tokens: DataFrame) -> Bigrams:
     return Bigrams({(r.a, r.b): r.n for r in rows})
 
 
+def _gap(s: Slot) -> float | None:
+    if len(s) < 2:
+        return None
+    p = heapq.nlargest(2, (x for _, x in s))
+    return 100.0 if p[0] - p[1] == 1 or p[0] == 0 else p[0] - p[1]
+
+
+def _context(s: Slot, top_n: int) -> Slot:
+    """The top_n words of a slot, normalised."""
+    top = heapq.nlargest(top_n, s, key=lambda c: c[1])
+    total = sum(p for _, p in top)
+    return [(w, p / total) for w, p in top] if total else top
+
+
 def most_uncertain(slots: Sequence[Slot], masked: Sequence[int]) -> int | None:
     """The slot of the least gap between its two best, plus how often it was taken; the first of equals. None if no slot has two."""
+    return _least([_gap(s) for s in slots], masked)
+
+
+def _least(gaps: Sequence[float | None], masked: Sequence[int]) -> int | None:
     best, place = math.inf, None
-    for i, s in enumerate(slots):
-        if len(s) < 2:
-            continue
-        p = sorted((x for _, x in s), reverse=True)
-        gap = 100.0 if p[0] - p[1] == 1 or p[0] == 0 else p[0] - p[1]
-        if gap + masked[i] < best:
+    for i, gap in enumerate(gaps):
+        if gap is not None and gap + masked[i] < best:
             best, place = gap + masked[i], i
     return place
 
 
-def slot_posterior(slots: Sequence[Slot], provider: Provider, theta: float = 0.25, rounds: int | None = None) -> list[Slot]:
-    """Slots after rounds (one for each slot if none are given) of masking the most uncertain one; prior times likelihood, normalised."""
+def slot_posterior(slots: Sequence[Slot], provider: Provider, theta: float = 0.25, rounds: int | None = None, top_n: int = 4) -> list[Slot]:
+    """Slots after rounds (one for each slot if none are given) of masking the most uncertain one; prior times likelihood, normalised.
+
+    All words of a slot take part; only the context that its neighbours see is cut to their top_n.
+    """
     prior, now, masked = [list(s) for s in slots], [list(s) for s in slots], [0] * len(slots)
+    gaps, context = [_gap(s) for s in now], [_context(s, top_n) for s in now]
     for _ in range(len(slots) if rounds is None else rounds):
-        at = most_uncertain(now, masked)
+        at = _least(gaps, masked)
         if at is None:
             break
         masked[at] += 1
         words = [w for w, _ in prior[at]]
-        like = softmax(provider.slot_scores(now, at, words), theta)
+        like = softmax(provider.slot_scores(context, at, words), theta)
         joint = [p * x for (_, p), x in zip(prior[at], like, strict=True)]
         total = sum(joint) or 1.0
         now[at] = [(w, j / total) for w, j in zip(words, joint, strict=True)]
+        gaps[at], context[at] = _gap(now[at]), _context(now[at], top_n)
     return now
 
 
@@ -110,9 +144,9 @@ def read_out(slots: Sequence[Slot]) -> list[str]:
     return out
 
 
-def sentence_posterior(hyps: Sequence[tuple[float, Sequence[Slot]]], provider: Provider | None, slot_theta: float = 0.25, theta: float = 0.005, use_slots: bool = True, use_sentence: bool = True) -> list[tuple[float, str]]:
+def sentence_posterior(hyps: Sequence[tuple[float, Sequence[Slot]]], provider: Provider | None, slot_theta: float = 0.25, theta: float = 0.005, use_slots: bool = True, use_sentence: bool = True, top_n: int = 4) -> list[tuple[float, str]]:
     """(posterior, sentence), best first."""
-    read = [read_out(slot_posterior(s, provider, slot_theta) if provider and use_slots else s) for _, s in hyps]
+    read = [read_out(slot_posterior(s, provider, slot_theta, top_n=top_n) if provider and use_slots else s) for _, s in hyps]
     like = softmax([provider.sentence_score(w) for w in read], theta) if provider and use_sentence else [1.0] * len(read)
     joint = [p * x for (p, _), x in zip(hyps, like, strict=True)]
     total = sum(joint) or 1.0
@@ -130,3 +164,23 @@ def restored(hyps: DataFrame, key: list[str], provider: Provider | None, **how)
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in key], pa.array([p for p, _ in best], pa.float64()), pa.array([s for _, s in best], pa.string())], [*key, "posterior", "sentence"])
 
     return hyps.mapInArrow(run, schema)
+
+
+def restored_words(words: DataFrame, key: list[str], provider: Provider | None, config: Config | None = None, **how) -> DataFrame:
+    """key, posterior, sentence: the best reading of each row of words (key, words), without a table of readings, which would repeat their slots."""
+    config = config or Config()
+    held = words.sparkSession.sparkContext.broadcast(provider)
+    schema = T.StructType([*[words.schema[k] for k in key], T.StructField("posterior", T.DoubleType()), T.StructField("sentence", T.StringType())])
+
+    def read(row: list[dict]) -> tuple[float, str]:
+        for w in row:
+            for h in w["hyps"]:
+                h["slots"] = [[(c["word"], c["p"]) for c in s] for s in h["slots"]]
+        return sentence_posterior([(r["p"], r["slots"]) for r in readings(row, config)], held.value, top_n=config.top_n, **how)[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            best = [read(w.as_py()) for w in b.column("words")]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in key], pa.array([p for p, _ in best], pa.float64()), pa.array([s for _, s in best], pa.string())], [*key, "posterior", "sentence"])
+
+    return words.mapInArrow(run, schema)

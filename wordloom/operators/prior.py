@@ -150,7 +150,11 @@ Hypothesis = tuple[list[int], float, list[Slot]]
 
 
 def word_hypotheses(source: str, words: Words, config: Config) -> list[Hypothesis]:
-    """(cuts, cost, slots) of the best ways to read the source, at most num_hyps; a slot holds its top_n (word, probability)."""
+    """(cuts, cost, slots) of the best ways to read the source, at most num_hyps; a slot holds all its (word, probability), best first.
+
+    Only words that the search never reached (distance FAR) are left out of a whole token's slot, if its best is below FAR / 2: their mass
+    is less than their number times exp((best - FAR) * prob_softmax).
+    """
     if not source or len(source) > 63 or not words.words:
         return [([0, len(source)], 0.0, [[(source, 1.0)]])]
     costs, n = Costs(source, config), len(source)
@@ -208,7 +212,9 @@ def word_hypotheses(source: str, words: Words, config: Config) -> list[Hypothesi
         for a, b in zip(cuts, cuts[1:], strict=False):
             pairs = list(zip(whole, words.words, strict=True)) if (a, b) == (0, n) else edges[a, b]
             p = softmax([-d for d, _ in pairs], config.prob_softmax)
-            top = np.lexsort((np.arange(len(p)), -p))[: config.top_n]
+            top = np.argsort(-p, kind="stable")
+            if (a, b) == (0, n) and best < FAR / 2:
+                top = top[whole[top] < FAR]
             slots.append([(pairs[i][1], float(p[i])) for i in top])
         out.append((cuts, cost, slots))
     return out
@@ -262,26 +268,30 @@ _SLOTS = T.ArrayType(T.ArrayType(T.StructType([T.StructField("word", T.StringTyp
 HYPS = T.ArrayType(T.StructType([T.StructField("p", T.DoubleType()), T.StructField("cost", T.DoubleType()), T.StructField("slots", _SLOTS)]))
 
 
-def sentence_hypotheses(tokens: DataFrame, solved: DataFrame, key: list[str], config: Config | None = None) -> DataFrame:
-    """key, hyps: the most probable readings of each sentence from tokens (key, pos, token) and their solutions.
+def sentence_words(tokens: DataFrame, solved: DataFrame, key: list[str]) -> DataFrame:
+    """key, words: the solutions of each sentence's tokens in order. They meet in one row, which the sentence's length and the dictionary bound."""
+    return tokens.join(solved, "token").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "hyps"))).alias("words"))
 
-    A sentence's tokens meet in one row, which its length bounds.
-    """
+
+def readings(words: list[dict], config: Config) -> list[dict]:
+    """The most probable readings of a sentence's words; readings share their slots."""
+    lists = [w["hyps"] for w in words]
+    sums = k_best_sums([[h["cost"] for h in hyps] for hyps in lists], config.num_hyps)
+    p = softmax([-c for c, _ in sums], config.hyp_softmax)
+    keep = [i for i in sorted(range(len(p)), key=lambda i: (-p[i], i)) if p[i] >= config.min_prob * p.max()]
+    return [{"p": float(p[i]), "cost": sums[i][0], "slots": [s for hyps, j in zip(lists, sums[i][1], strict=True) for s in hyps[j]["slots"]]} for i in keep]
+
+
+def sentence_hypotheses(tokens: DataFrame, solved: DataFrame, key: list[str], config: Config | None = None) -> DataFrame:
+    """key, hyps: the most probable readings of each sentence from tokens (key, pos, token) and their solutions."""
     config = config or Config()
-    joined = tokens.join(solved, "token").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("pos", "hyps"))).alias("words"))
+    joined = sentence_words(tokens, solved, key)
     schema = T.StructType([*[tokens.schema[k] for k in key], T.StructField("hyps", HYPS)])
     kind = to_arrow_type(HYPS)
 
-    def read(words: list[dict]) -> list[dict]:
-        lists = [w["hyps"] for w in words]
-        sums = k_best_sums([[h["cost"] for h in hyps] for hyps in lists], config.num_hyps)
-        p = softmax([-c for c, _ in sums], config.hyp_softmax)
-        keep = [i for i in sorted(range(len(p)), key=lambda i: (-p[i], i)) if p[i] >= config.min_prob * p.max()]
-        return [{"p": float(p[i]), "cost": sums[i][0], "slots": [s for hyps, j in zip(lists, sums[i][1], strict=True) for s in hyps[j]["slots"]]} for i in keep]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in key], pa.array([read(w) for w in b.column("words").to_pylist()], kind)], [*key, "hyps"])
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in key], pa.array([readings(w, config) for w in b.column("words").to_pylist()], kind)], [*key, "hyps"])
 
     return joined.mapInArrow(run, schema)
 

@@ -32,4 +32,4 @@ def restore(sentences: DataFrame, key: list[str], text: str, words: prior.Words,
     """key, posterior, sentence for each sentence that has a token."""
     tokens = exploded(sentences, key, sentence_tokens(F.col(text)))
     solved = prior.solve_tokens(tokens, words, config)
-    return posterior.restored(prior.sentence_hypotheses(tokens, solved, key, config), key, provider, **how)
+    return posterior.restored_words(prior.sentence_words(tokens, solved, key), key, provider, config, **how)
