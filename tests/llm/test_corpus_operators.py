@@ -298,6 +298,12 @@ def test_main_text_of_marked_pages():
     assert html_extract.extract(None) == "" == html_extract.extract("<p></p>") and html_extract.extract("plain") == "plain"
 
 
+def test_site_style_tree_removes_templates_inside_articles(spark):
+    pages = [(i, f"http://h.example/{i}", f"<body><article><h1>Title {i}</h1><p>text number {i} of many</p><div class=box>Read this offer</div></article></body>") for i in range(12)]
+    got = html_extract.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Title {i}\n\ntext number {i} of many" for i in range(12)}
+
+
 def test_site_style_tree_removes_templates(spark):
     pages = [(i, f"http://h.example/{i}", f"<body><div class=top>Site name</div><div class=body><p>text number {i} of many</p></div><div class=end>All rights</div></body>") for i in range(12)]
     pages += [(20, "http://other.example/", "<body><div class=top>alone</div></body>"), (21, None, None), (20, "http://other.example/", "<body><div class=top>alone</div></body>")]

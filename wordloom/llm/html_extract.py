@@ -6,7 +6,7 @@ that many pages show in the same way with the same content has low entropy, so l
 branch is removed from the pages. Importance is the larger of presentation and content entropy, the latter
 times DAMPING; as content is that of the whole branch, an element lives as long as something below it varies. Elements whose tag, role or class says what they are (navigation, footers, adverts, forms,
 comments, ...) have no importance from the start; article and main elements have full importance, and a page
-that has one is read from it alone. Identical pages of a host are merged once, so copies don't make an
+that has one is read from it alone, without the branches of low importance inside it. Identical pages of a host are merged once, so copies don't make an
 article look like a template.
 
 Defined cases: null and empty html give empty text; pages without host share one tree; repeated page_ids and
@@ -127,17 +127,18 @@ def parse(source: str) -> Node:
     return root
 
 
-def _main_nodes(root: Node) -> list[Node]:
-    """The outermost article or main elements outside noise."""
-    out, todo = [], [root]
+def _main_nodes(root: Node) -> list[tuple[Node, str]]:
+    """The outermost article or main elements outside noise, with the paths of their parents."""
+    out, todo = [], [(root, "")]
     while todo:
-        node = todo.pop()
+        node, path = todo.pop()
         if node.noise:
             continue
         if node.main:
-            out.append(node)
+            out.append((node, path))
         else:
-            todo += [x for x in reversed(node.items) if isinstance(x, Node)]
+            path += "/" + node.kind
+            todo += [(x, path) for x in reversed(node.items) if isinstance(x, Node)]
     return out
 
 
@@ -146,12 +147,12 @@ def _hash(s: str) -> int:
 
 
 def branches(root: Node) -> Iterator[tuple[int, int, int]]:
-    """(path, presentation, content) of the elements outside noise and main nodes. Content is the text of the whole branch."""
+    """(path, presentation, content) of the elements outside noise. Content is the text of the whole branch."""
     found: list[tuple[int, int, int, str]] = []  # path, place of the parent, presentation, own text
     todo = [(root, "", -1)]
     while todo:
         node, path, above = todo.pop()
-        if node.noise or node.main:
+        if node.noise:
             continue
         path += "/" + node.kind
         kids = [x for x in node.items if isinstance(x, Node) and not x.noise]
@@ -180,7 +181,7 @@ def extract(source: str | None, removed: frozenset[int] = frozenset()) -> str:
             blocks.append(s)
         run.clear()
 
-    todo: list = [(m, None) for m in reversed(mains)] or [(root, "")]
+    todo: list = list(reversed(mains)) or [(root, "")]
     while todo:
         x, path = todo.pop()
         if x is flush:
@@ -190,10 +191,9 @@ def extract(source: str | None, removed: frozenset[int] = frozenset()) -> str:
         elif x.tag == "br" or x.tag == "wbr":
             run.append(" " if x.tag == "br" else "")
         elif not x.noise:
-            if path is not None:
-                path += "/" + x.kind
-                if removed and _hash(path) in removed:
-                    continue
+            path += "/" + x.kind
+            if removed and not x.main and _hash(path) in removed:
+                continue
             if x.tag in _BLOCK or x.tag == "#root":
                 flush()
                 todo.append((flush, None))
@@ -207,15 +207,14 @@ def host_of(url: str | None) -> str:
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Elements of pages that have no main element, or none of whose texts is in it."""
+    """Elements of pages."""
     for b in batches:
         out = []
         for url, source in zip(b["url"], b["html"], strict=True):
             if not isinstance(source, str) or not source:
                 continue
-            root = parse(source)
-            if not _main_nodes(root):
-                out += [(_hash(host_of(url)), _hash(source), *x) for x in branches(root)]
+            host, page = _hash(host_of(url)), _hash(source)
+            out += [(host, page, *x) for x in branches(parse(source))]
         yield pd.DataFrame(out, columns=["host", "page", "path", "presentation", "content"], dtype="int64")
 
 
