@@ -3,7 +3,7 @@
 A document's ids are cut into full windows of the capacity, and a remainder. Remainders are dealt at random
 (by a hash) into groups of bounded size; in each group differencing merges partial partitions with opposing
 imbalances into near-equal windows. The window count starts at the least possible and rises while the
-fullest window exceeds the capacity; beyond SLACK of waste the remainders are first cut into halves.
+fullest window exceeds the capacity; beyond SLACK of waste, what stands above the capacity is cut off and fills the room of other windows.
 
 Defined cases: null and empty texts give one piece that holds the end id only; rows with repeated or null
 doc_id are documents of their own; extra columns are ignored; an empty table gives no pieces.
@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITY, END_ID = 2048, 1
-#: Documents to a group of remainders, and the share of windows by which the count may rise before pieces are cut.
+#: Documents to a group of remainders, and the share of windows by which the count may rise before items are cut.
 GROUP_DOCS, SLACK = 384, 0.008
 #: Entries of the memos (about 200 bytes each, in every Python worker); texts with more distinct words are only slower.
-_WORD_MEMO, _CHUNK_MEMO = 100_000, 250_000
+_WORD_MEMO, _CHUNK_MEMO = 200_000, 250_000
 PIECES = "doc string, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _COLUMNS = [c.split(" ")[0] for c in PIECES.split(", ")]
 
@@ -53,7 +53,8 @@ class _Word(dict):
 class _Chunk(dict):
     """Packed ids of a chunk between spaces; the tokenizer never joins text across them.
 
-    Chunks of ASCII and Latin-1 letters are taken apart here, others are left to the tokenizer itself.
+    ASCII words, also before one mark, are looked up at once; other chunks of ASCII and Latin-1 letters are taken apart here, the
+    rest is left to the tokenizer itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -65,6 +66,9 @@ class _Chunk(dict):
     def __missing__(self, chunk: str) -> bytes:
         if not chunk:
             v = b""
+        elif chunk.isascii() and chunk[:-1].isalpha() and (chunk[-1] in _MARKS or chunk[-1].isalpha()):
+            word = chunk.lower()
+            v = self.word[word] if word[-1] not in _MARKS else self.word[word[:-1]] + self.word[word[-1]]
         elif _SIMPLE(chunk):
             v = b"".join(map(self.word.__getitem__, _RUNS(chunk.lower())))
         else:
@@ -74,6 +78,7 @@ class _Chunk(dict):
         return v
 
 
+_MARKS = frozenset(",.;:!?")
 _SIMPLE = re.compile("[!-;=-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch
 _RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+").findall
 END = array("H", [END_ID]).tobytes()
@@ -138,30 +143,46 @@ def _items(t: tuple) -> list[int]:
     return out
 
 
-def _halves(n: int, limit: int) -> list[int]:
-    p = -(-n // limit)
-    return [n // p + (j < n % p) for j in range(p)]
+def _repaired(sizes: list[int], sets: list[list[int]], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """Windows of (item, start, length): what stands above the capacity of a window is cut off and fills the rooms of others, in order."""
+    windows, tails, room = [], [], []
+    for w, s in enumerate(sets):
+        over, own = sum(sizes[i] for i in s) - capacity, [(i, 0, sizes[i]) for i in s]
+        if over < 0:
+            room.append((w, -over))
+        while over > 0:  # the longest item gives way, so that few items are cut
+            i, a, n = max(own, key=lambda x: x[2])
+            own.remove((i, a, n))
+            cut = min(n, over)
+            tails.append((i, a + n - cut, cut))
+            if n > cut:
+                own.append((i, a, n - cut))
+            over -= cut
+        windows.append(own)
+    for w, free in room:
+        while free and tails:
+            i, a, n = tails.pop()
+            m = min(n, free)
+            windows[w].append((i, a, m))
+            free -= m
+            if n > m:
+                tails.append((i, a + m, n - m))
+    return windows
 
 
 def fill(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Windows of pieces (item, start, length), none above the capacity."""
-    total, limit = sum(lengths), capacity
-    least = -(-total // capacity)
-    while True:
-        pieces = []
-        for i, n in enumerate(lengths):
-            at = 0
-            for m in _halves(n, limit) if n else []:
-                pieces.append((i, at, m))
-                at += m
-        sizes = [p[2] for p in pieces]
-        last = limit <= max(1, capacity // 32)
-        most = len(sizes) if last else least + max(1, math.floor(least * SLACK))
-        for k in range(least, most + 1):
-            sets = difference(sizes, k)
-            if all(sum(sizes[i] for i in s) <= capacity for s in sets):
-                return [sorted(pieces[i] for i in s) for s in sets if s]
-        limit //= 2
+    """Windows of pieces (item, start, length), none above the capacity.
+
+    Differencing into the least possible number of windows; while one exceeds the capacity the number rises, by SLACK (one at
+    least) at most. What still exceeds it then is cut off and moved to windows with room.
+    """
+    least = -(-sum(lengths) // capacity)
+    most = least + max(1, math.floor(least * SLACK))
+    for k in range(least, most + 1):
+        sets = difference(lengths, k)
+        if all(sum(lengths[i] for i in s) <= capacity for s in sets):
+            break
+    return [sorted(w) for w in _repaired(lengths, sets, capacity) if w]
 
 
 def _tokenizer(path: str, capacity: int, groups: int):
