@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, html_extract, media, mixing, near_dups, packing, pii, pii_labels, quality, toxicity, url_filter, url_labels
-from .common import WORD, cut, table
+from .common import cut, forget, table
 
 #: Folder of public vocabulary files.
 TOKENIZERS = os.environ.get("WORDLOOM_TOKENIZERS", "")
@@ -42,16 +42,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> DataFrame:
-    """doc_id, text, toxic of labelled documents; without those whose crc32(doc_id) mod 4 is 2, if they are held out."""
-    labels = labels.select("doc_id", "toxic").filter("toxic is not null").dropDuplicates(["doc_id"])
+    """doc_id, text, toxic of a bounded sample of labelled documents; without those whose crc32(doc_id) mod 4 is 2, if they are held out."""
+    labels = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if held_out:
         labels = labels.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+    return toxicity.training_rows(docs, labels)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train(cut(labelled(docs, table(spark, sf_dir, "labels"))))
+    rows = cut(labelled(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.train(rows)
+    forget(rows)
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", "predicted")
 
@@ -112,7 +114,5 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(chars) + 7 AS BIGINT) AS formatted_chars
 FROM counted GROUP BY conv_id"""
 
-_WORDS_SQL = f"len(regexp_extract_all(coalesce(text, ''), '{WORD}'))"
-
 #: SQL where it can express the whole result. The others are tested against brute-force versions in tests/llm.
 ORACLE_SQL = {"op8_chat_format": _OP8}

@@ -1,12 +1,12 @@
 """Toxicity by a linear classifier on character n-grams that naive Bayes log-count ratios scale.
 
 The document frequencies of hashed n-grams in either class give each feature its log-count ratio; the
-features with the largest ratios are kept, and logistic regression is fitted on presence times ratio. Labelled
-rows for training are a bounded sample: a hash of doc_id keeps about SAMPLE of them if there are more.
-Scoring covers every text as a whole.
+features whose frequency in the toxic class is farthest from that in all rows, in standard errors, are kept, and logistic
+regression is fitted on presence times ratio. Labelled rows for training are a bounded sample: a hash of doc_id keeps about
+SAMPLE of them if there are more. Scoring covers every text as a whole.
 
 Defined cases: null and empty texts have no features and get the score of the intercept, but are kept by keep(); rows without a
-training label are only scored; repeated rows and null ids are scored as they stand; without training rows of
+training label are only scored; of rows with one doc_id the least text trains; repeated rows and null ids are scored as they stand; without training rows of
 both classes every score is the share of the toxic label (0 if there is none); extra columns are ignored.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Training rows at most (about), hash buckets, kept features, n-gram lengths, threshold of the decision.
-SAMPLE, BUCKETS, FEATURES, LENGTHS, CUTOFF = 16_000, 1 << 20, 12_288, (3, 4, 5, 6), 0.3
+SAMPLE, BUCKETS, FEATURES, LENGTHS, CUTOFF = 16_000, 1 << 20, 4096, (3, 4, 5, 6), 0.3
 
 
 def grams(text: str) -> np.ndarray:
@@ -96,6 +96,23 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def _sampled(rows: DataFrame, n: int, sample: int) -> DataFrame:
+    """About sample of n rows, by a hash of doc_id; all if there are no more."""
+    return rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * sample / n))) if n > sample else rows
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, text, toxic of a sample of the labels (doc_id, toxic: one row for each doc_id).
+
+    The labels are sampled before they meet the texts, so that about sample ids (of 12 bytes) are broadcast and no text is
+    shuffled but theirs.
+    """
+    labels = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
+    some = _sampled(labels, labels.count(), sample)
+    own = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return own.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("r")).select("doc_id", "r.text", "r.toxic")
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
     """A model from labelled (doc_id, text, toxic)."""
     labelled = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
@@ -103,15 +120,13 @@ def train(labelled: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -
     empty = np.full(BUCKETS, -1, np.int32)
     if not 0 < pos < n:
         return Model(empty, np.zeros(1), 30.0 if n and pos == n else -30.0)
-    if n > sample:
-        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * sample / n)))
+    labelled = _sampled(labelled, n, sample)
     counts = labelled.mapInPandas(_frequencies, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).filter("neg + pos >= 4")
     held = counts.select(*[F.col(c).cast("int").alias(c) for c in ("bucket", "neg", "pos")]).toArrow()  # at most BUCKETS rows of 12 bytes
     bucket, with_neg, with_pos = (held.column(c).to_numpy() for c in ("bucket", "neg", "pos"))
-    p, q = with_pos + 1.0, with_neg + 1.0
-    ratio = np.log((p / p.sum()) / (q / q.sum()))
-    share = np.log((p / (pos + 2)) / (q / (n - pos + 2)))
-    worth = np.abs(share) * np.sqrt(with_pos + with_neg)
+    ratio = np.log(((with_pos + 1.0) / (pos + 2)) / ((with_neg + 1.0) / (n - pos + 2)))
+    share = (with_pos + with_neg) / n
+    worth = np.abs(with_pos - pos * share) / np.sqrt(pos * (n - pos) / n * share * (1 - share) + 1e-9)
     best = np.lexsort((bucket, -worth))[:features]
     lookup = empty
     lookup[bucket[best]] = np.arange(len(best))
