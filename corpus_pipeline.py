@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm import mixing, near_dups, packing, pii, pii_labels, toxicity
-from wordloom.llm.common import cut, shared_folder, table
+from wordloom.llm.common import cut, forget, shared_folder, table
 from wordloom.llm.queries import labelled, tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -17,16 +17,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the cutoff. The classifier is trained on the labelled documents of the table as it came in."""
     labels = table(spark, sf_dir, "labels")
-    model = toxicity.train(cut(labelled(docs, labels, held_out=False)))
+    rows = cut(labelled(docs, labels, held_out=False))
+    model = toxicity.train(rows)
+    forget(rows)
     return toxicity.keep(docs.select(*COLUMNS), model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the least doc_id. Repeated rows of one doc_id are one row afterwards."""
+    """One document of each component: that with the least doc_id. Of repeated rows of one doc_id the least stays, by the columns in order."""
     kept = near_dups.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     nulls = docs.select(*COLUMNS).filter("doc_id is null")
     own = docs.select(*COLUMNS).filter("doc_id is not null")
-    return own.join(kept, own["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]).unionByName(nulls)
+    rows = own.join(kept, own["doc_id"] == F.col("_id"), "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("r"))
+    return rows.select("doc_id", "r.*").unionByName(nulls)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
