@@ -65,6 +65,12 @@ def test_near_duplicates_in_large_buckets(spark):
     assert {got[i] for i in range(120)} == {0} and {got[500 + i] for i in range(50)} == {500}
 
 
+def test_near_duplicates_of_one_document_with_two_texts(spark):
+    rows = [(5, "a b c d", "s"), (5, "x y z w", "s"), (3, "x y z w", "s"), (9, "p q r s", "s")]
+    got = near_dups.near_duplicates(documents(spark, rows), k=2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), (5, 3, False), (5, 3, False), (9, 9, True)]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_dups.near_duplicates(documents(spark, [])).count() == 0
 
@@ -135,9 +141,12 @@ def test_water_fill():
 
 def test_mix_is_near_targets_and_repeats(spark):
     rows = [*corpus(200), (400, "big " * 2000, "s2")]
-    docs = documents(spark, rows).withColumn("copies_", F.lit("clash"))
+    docs = documents(spark, rows).withColumns({"copies": F.lit("clash"), "size": F.lit(-1), "target": F.lit("x"), "_doc": F.lit(1), "other": F.lit("stays")})
     one = mixing.mixed(docs).select("doc_id", "source", "size", "target", "copies").collect()
     two = mixing.mixed(docs.repartition(7)).select("doc_id", "source", "size", "target", "copies").collect()
+    three = mixing.mixed_sizes(docs).select("doc_id", "source", "size", "target", "copies").collect()
+    assert sorted(map(str, one)) == sorted(map(str, three))
+    assert {r.other for r in mixing.mixed(docs).collect()} == {"stays"} and mixing.mixed(docs).filter("_doc = 1").count() == len(rows)
     assert sorted(map(str, one)) == sorted(map(str, two)) and len(one) == len(rows)
     for s in {r.source for r in one}:
         own = [r for r in one if r.source == s]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget
+from .common import cut, forget, measured
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -22,19 +22,23 @@ def _small_star(e: DataFrame) -> DataFrame:
     return below.unionByName(least.select("u", F.col("m").alias("v")))
 
 
+def _edges(e: DataFrame) -> DataFrame:
+    """The distinct edges, written, with a state that tells whether they changed."""
+    return cut(e.distinct(), rows=F.count(F.lit(1)), digest=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every node that has an edge and isn't the least of its component.
 
     edges: columns a and b of long ids; order, repetition and self-loops don't matter, nulls are ignored.
     Each round is written to the shared folder; rounds end when the edge set no longer changes (a logarithmic number).
-    An empty edge table gives an empty result.
+    An empty edge table gives an empty result, a table of :func:`cut`.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v").distinct()
-    e, seen = cut(e), None
-    while True:
-        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen or not state[0]:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        seen = state
-        before, e = e, cut(_small_star(_large_star(e).distinct()).distinct())
+    e, seen = _edges(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u != v")), None
+    while measured(e)["rows"] and measured(e) != seen:
+        seen, before = measured(e), e
+        e = _edges(_small_star(_large_star(e)))
         forget(before)
+    out = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    out._cut = e._cut
+    return out

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import counted, cut, forget
 from .components import components
 
 #: Buckets of up to so many members are resolved as pairs, larger ones in blocks.
@@ -45,24 +45,33 @@ def _large_buckets(left: DataFrame, members: DataFrame, block: Callable, block_r
     return cells.groupBy("cluster", "i", "j").applyInPandas(block, "a long, b long")
 
 
-def linked_components(buckets: DataFrame, members_of: Callable[[DataFrame], DataFrame], check: Callable, block: Callable, votes: int = 1, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """(id, component) of the linked ids but the least of each component, and the links (a, b) that were found.
+def linked_components(buckets: DataFrame, members_of: Callable[[DataFrame], DataFrame], check: Callable, block: Callable, known: DataFrame | None = None, votes: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, component) of the linked ids but the least of each component.
 
     buckets: id and key. members_of: from a frame of ids to id, n and members (a binary payload). block: from a
-    frame of id, component, part and members to links between different components. votes: how many buckets a pair
-    must share to be checked. block_rows: members to a block side.
+    frame of id, component, part and members to links between different components. known: links (a, b) that need no check. votes: how
+    many buckets a pair must share to be checked. block_rows: members to a block side. Intermediate tables are removed.
     """
     leads = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = cut(buckets.join(leads, "key"))
     members = cut(members_of(shared.select("id").distinct()))
-    links = cut(verify(_shared(shared.filter("id != lead").select(F.col("id").alias("a"), F.col("lead").alias("b")), votes), members, check))
-    first = components(links)
+    links = verify(_shared(shared.filter("id != lead").select(F.col("id").alias("a"), F.col("lead").alias("b")), votes), members, check)
+    first = components(links if known is None else links.unionByName(known))
     labelled = shared.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
-    left = cut(labelled.join(mixed, "key", "left_semi"))
-    small = left.filter(F.col("size") <= SMALL).select("key", "id", "component")
-    pairs = small.select("key", F.col("id").alias("a"), F.col("component").alias("c")).join(small.select("key", F.col("id").alias("b"), F.col("component").alias("d")), "key")
-    pairs = _shared(pairs.filter("a < b and c != d").select("a", "b"), votes)
-    more = verify(pairs, members, check).unionByName(_large_buckets(left.filter(F.col("size") > SMALL), members, block, block_rows))
-    links = cut(links.unionByName(more))
-    return components(links), links
+    left = cut(labelled.join(mixed, "key", "left_semi"), small=F.count_if(F.col("size") <= SMALL), large=F.count_if(F.col("size") > SMALL))
+    sizes, more = left._measured, []
+    if sizes["small"]:
+        small = left.filter(F.col("size") <= SMALL).select("key", "id", "component")
+        pairs = small.select("key", F.col("id").alias("a"), F.col("component").alias("c")).join(small.select("key", F.col("id").alias("b"), F.col("component").alias("d")), "key")
+        more.append(verify(_shared(pairs.filter("a < b and c != d").select("a", "b"), votes), members, check))
+    if sizes["large"]:
+        more.append(_large_buckets(left.filter(F.col("size") > SMALL), members, block, block_rows))
+    if more:
+        found, n = counted(more[0] if len(more) == 1 else more[0].unionByName(more[1]))
+        if n:
+            before, first = first, components(first.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found))
+            forget(before)
+        forget(found)
+    forget(shared, members, left)
+    return first

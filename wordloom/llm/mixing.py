@@ -10,8 +10,8 @@ other documents of the last group. So a source misses its target by about a smal
 
 Defined cases: null and empty texts have size 0 and are taken 0 times; rows of equal doc_id, source and
 size are pre-aggregated and share one decision; null sources are a source of their own, last in order;
-null doc_ids are kept; extra columns pass through; an empty table gives an empty result. Draws are hashes
-of the seed and the rows, so reruns agree whatever the partitioning.
+null doc_ids are kept; extra columns pass through, but for those called size, source_size, target or copies, which the result has anew; an
+empty table gives an empty result. Draws are hashes of the seed and the rows, so reruns agree whatever the partitioning.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import counted, cut, forget, fresh, n_words
 
 WEIGHTS, MOST_COPIES, GROUP = (1, 2, 3), 3.0, 2048
 
@@ -159,20 +159,22 @@ def _level(seed: int, last: bool):
 
 
 def copies(docs: DataFrame, seed: int = 7, weights: tuple = WEIGHTS, most: float = MOST_COPIES, group: int = GROUP) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: one row for each distinct (doc_id, source, size) of docs."""
+    """doc_id, source, size, source_size, target, copies: one row for each distinct (doc_id, source, size) of docs; a written table."""
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "size")
-    units = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows"))
+    units, n = counted(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("rows")))
     plan = cut(targets(units.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, most))
-    units = units.join(plan, units["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+    planned = units.join(plan, units["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    units = units.withColumn("q", F.when(F.col("size") > 0, share).otherwise(F.lit(0.0)))
-    units = units.withColumn("whole", F.floor(F.col("q") + 1e-12)).withColumn("p", F.greatest(F.lit(0.0), F.col("q") - F.col("whole"))).withColumn("mass", (F.col("size") * F.col("rows")).cast("double"))
-    done, n = [], units.count()
-    level = units.select("doc_id", "source", "size", "source_size", "target", "whole", "p", "mass")
+    planned = planned.withColumn("q", F.when(F.col("size") > 0, share).otherwise(F.lit(0.0)))
+    planned = planned.withColumn("whole", F.floor(F.col("q") + 1e-12)).withColumn("p", F.greatest(F.lit(0.0), F.col("q") - F.col("whole"))).withColumn("mass", (F.col("size") * F.col("rows")).cast("double"))
+    level = planned.select("doc_id", "source", "size", "source_size", "target", "whole", "p", "mass")
+    levels = [units, plan]
+    done: list[DataFrame] = []
     while True:
         groups = max(1, -(-n // group))
         dealt = level.groupBy("source", F.pmod(F.xxhash64("doc_id", "size"), F.lit(groups)).alias("deal"))
         level = cut(dealt.applyInPandas(_level(seed, groups == 1), "doc_id long, source string, size long, source_size long, target double, whole long, p double, mass double"))
+        levels.append(level)
         done.append(level.filter("p = 0 or p = 1"))
         if groups == 1:
             break
@@ -180,12 +182,31 @@ def copies(docs: DataFrame, seed: int = 7, weights: tuple = WEIGHTS, most: float
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("p")).cast("long").alias("copies"))
+    out = cut(out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("p")).cast("long").alias("copies")))
+    forget(*levels)
+    return out
+
+
+def _with_copies(docs: DataFrame, plan: DataFrame, size) -> DataFrame:
+    """docs joined with their rows of the plan."""
+    d, s, n = (fresh(x, docs.columns) for x in ("_doc", "_source", "_size"))
+    plan = plan.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n), "size", "source_size", "target", "copies")
+    on = docs["doc_id"].cast("long").eqNullSafe(plan[d]) & docs["source"].eqNullSafe(plan[s]) & (size == plan[n])
+    return docs.join(plan, on).drop(d, s, n)
 
 
 def mixed(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """docs with size, source_size, target and copies."""
-    docs = docs.withColumn("size", n_words(F.col(text)))
-    plan = copies(docs, **how).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "source_size", "target", "copies")
-    on = docs["doc_id"].eqNullSafe(F.col("_d")) & docs["source"].eqNullSafe(F.col("_s")) & (docs["size"] == F.col("_n"))
-    return docs.join(plan, on).drop("_d", "_s", "_n")
+    """docs with size, source_size, target and copies.
+
+    The plan needs ids, sources and sizes only; texts meet it in one join, in which they are shuffled once where the plan is too large to broadcast.
+    """
+    docs = docs.drop("size", "source_size", "target", "copies")
+    size = n_words(docs[text])
+    return _with_copies(docs, copies(docs.select("doc_id", "source", size.alias("size")), **how), size)
+
+
+def mixed_sizes(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies of every row of docs, without texts, which are read once."""
+    sized = cut(docs.select("doc_id", "source", n_words(F.col(text)).alias("size")))
+    bare = sized.withColumnRenamed("size", "_words")
+    return _with_copies(bare, copies(sized, **how), bare["_words"]).drop("_words")

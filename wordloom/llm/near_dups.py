@@ -9,8 +9,8 @@ pairs, in large ones as blocks of sets that are compared inside a task. So no bu
 no pair list of a large group is ever made.
 
 Defined cases: null or wordless texts have an empty set and link with nothing; fewer than k words give one
-shingle; rows with the same doc_id count as one document (if their texts differ they are linked); a null
-doc_id stays, and is kept unless an equal text has an id; extra columns are ignored.
+shingle; rows with the same doc_id count as one document (if their texts differ they are linked, whatever their words, and share a
+component); a null doc_id stays, and is kept unless an equal text has an id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, words_of
+from .common import ascii_lower, counted, cut, forget, words_of
 from .linkage import linked_components
 
 BANDS, ROWS, THRESHOLD = 40, 6, 80
@@ -167,8 +167,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, bands: int = BANDS, rows: int =
         own = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").filter("text is not null")
         return own.mapInPandas(_setter(k), "id long, n long, members binary")
 
-    whole, _ = linked_components(buckets, sets, _checker(threshold), _block(threshold))
+    named = signed.filter("doc_id is not null and word_hash is not null")
+    several, n = counted(named.groupBy("doc_id").agg(F.min("word_hash").alias("lo"), F.max("word_hash").alias("hi")).filter("lo != hi").select("doc_id"))
+    known = None
+    if n:  # texts of one document: their classes belong together
+        known = named.join(several, "doc_id", "left_semi").join(classes, "word_hash").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+    whole = linked_components(buckets, sets, _checker(threshold), _block(threshold), known)
     named = classes.select("word_hash", "id").join(whole, "id", "left").select("word_hash", F.coalesce("component", "id").alias("component_id"))
     out = signed.select("doc_id", "word_hash", "n_shingles").join(named, "word_hash", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    done = cut(out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
+    forget(signed, classes, several, whole)
+    return done

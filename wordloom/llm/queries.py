@@ -37,7 +37,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    mix = mixing.mixed_sizes(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
