@@ -7,16 +7,17 @@ branch is removed from the pages. Importance is the larger of presentation and c
 times DAMPING; as content is that of the whole branch, an element lives as long as something below it varies. Elements whose tag, role or class says what they are (navigation, footers, adverts, forms,
 comments, ...) have no importance from the start; article and main elements have full importance, and a page
 that has one is read from it alone, without the branches of low importance inside it. Identical pages of a host are merged once, so copies don't make an
-article look like a template.
+article look like a template. Names of classes and ids don't judge article and main elements or headings.
 
-Defined cases: null and empty html give empty text; pages without host share one tree; repeated page_ids and
-extra columns are kept or ignored row by row; an empty table gives an empty result.
+Defined cases: null and empty html give empty text; pages without host share one tree; elements may be nested to any depth; repeated
+page_ids and extra columns are kept or ignored row by row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,8 +25,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of a host below which nothing is called a template; importance below which a branch goes; weight of content.
+from .common import counted, cut, forget
+from .url_filter import host_path
+
+#: Pages that must show an element before it is called a template; importance below which a branch goes; weight of content.
 MIN_PAGES, THRESHOLD, DAMPING = 8, 0.25, 0.9
+#: Template paths (of 8 bytes) that may be broadcast; beyond that pages meet them by a join on the host.
+MOST_BROADCAST = 1_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])|\Z", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "plaintext")}
@@ -40,6 +46,7 @@ _NOISE_TAGS = frozenset("nav header footer aside form script style noscript temp
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _NOISE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsbygoogle|sponsor(?:ed)?|promo(?:tion)?s?|banners?|sidebars?|nav|navbar|navigation|menus?|breadcrumbs?|footers?|masthead|headers?|cookies?|consent|gdpr|notices?|newsletter|subscribe|signup|login|popup|modal|overlay|comments?|disqus|replies|reply|respond|share|sharing|social|related|recommended|widgets?|pagination|pager|toolbar|search(?:box|form)?|disclaimer|copyright)(?=$|[\s_-])", re.I)
 _MAIN = frozenset({"article", "main"})
+_UNJUDGED = frozenset("html body h1 h2 h3 h4 h5 h6".split())
 _SPACE = re.compile(r"\s+")
 
 
@@ -55,6 +62,16 @@ def parse(source: str) -> Node:
     """A tolerant DOM: items of a node are its texts (references decoded) and elements in order."""
     root = Node("#root", "#root", False, False)
     stack, at, n = [root], 0, len(source)
+    open_tags: Counter = Counter()  # of the stack
+    mains = 0  # of the stack
+
+    def shut(i: int) -> None:
+        """Closes the elements from place i of the stack on."""
+        nonlocal mains
+        for x in stack[i:]:
+            open_tags[x.tag] -= 1
+            mains -= x.main
+        del stack[i:]
 
     def text(s: str) -> None:
         if s:
@@ -78,9 +95,9 @@ def parse(source: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    shut(i)
                     break
                 if stack[i].main and tag not in _MAIN and tag not in ("body", "html"):
                     break  # a stray end tag doesn't leave an article
@@ -88,7 +105,7 @@ def parse(source: str) -> Node:
         if tag in _CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    shut(i)
                     break
                 if stack[i].tag in _SCOPE or stack[i].tag in _BLOCK:
                     break
@@ -96,7 +113,7 @@ def parse(source: str) -> Node:
             ended, until = _ENDS[tag]
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ended:
-                    del stack[i:]
+                    shut(i)
                     break
                 if stack[i].tag in until:
                     break
@@ -114,7 +131,7 @@ def parse(source: str) -> Node:
                     hidden |= key == "hidden" or value.lower() == "true"
         label = " ".join(names)
         main = tag in _MAIN or role in ("main", "article")
-        noise = hidden or (tag in _NOISE_TAGS and not (tag == "header" and any(x.main for x in stack))) or role in _NOISE_ROLES or bool(label and tag not in ("html", "body") and _NOISE_WORDS.search(label))
+        noise = hidden or (tag in _NOISE_TAGS and not (tag == "header" and mains)) or role in _NOISE_ROLES or bool(label and not main and tag not in _UNJUDGED and _NOISE_WORDS.search(label))
         node = Node(tag, f"{tag}.{label}" if label else tag, noise, main)
         stack[-1].items.append(node)
         if tag in _RAW:
@@ -122,14 +139,16 @@ def parse(source: str) -> Node:
             node.items.append(source[at : end.start()])
             close = source.find(">", end.start())
             at = n if end.start() == n or close < 0 else close + 1
-        elif tag not in _VOID and len(stack) < 500 and not (m[3] or "").endswith("/"):
+        elif tag not in _VOID and not (m[3] or "").endswith("/"):
             stack.append(node)
+            open_tags[tag] += 1
+            mains += main
     return root
 
 
-def _main_nodes(root: Node) -> list[tuple[Node, str]]:
+def _main_nodes(root: Node) -> list[tuple[Node, int]]:
     """The outermost article or main elements outside noise, with the paths of their parents."""
-    out, todo = [], [(root, "")]
+    out, todo = [], [(root, 0)]
     while todo:
         node, path = todo.pop()
         if node.noise:
@@ -137,7 +156,7 @@ def _main_nodes(root: Node) -> list[tuple[Node, str]]:
         if node.main:
             out.append((node, path))
         else:
-            path += "/" + node.kind
+            path = _step(path, node.kind)
             todo += [(x, path) for x in reversed(node.items) if isinstance(x, Node)]
     return out
 
@@ -146,18 +165,23 @@ def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _step(path: int, kind: str) -> int:
+    """The path of an element of this kind below another, as a hash."""
+    return _hash(f"{path}/{kind}")
+
+
 def branches(root: Node) -> Iterator[tuple[int, int, int]]:
     """(path, presentation, content) of the elements outside noise. Content is the text of the whole branch."""
     found: list[tuple[int, int, int, str]] = []  # path, place of the parent, presentation, own text
-    todo = [(root, "", -1)]
+    todo = [(root, 0, -1)]
     while todo:
         node, path, above = todo.pop()
         if node.noise:
             continue
-        path += "/" + node.kind
+        path = _step(path, node.kind)
         kids = [x for x in node.items if isinstance(x, Node) and not x.noise]
         todo += [(k, path, len(found)) for k in kids]
-        found.append((_hash(path), above, _hash(">".join(dict.fromkeys(k.kind for k in kids))), " ".join(" ".join(x for x in node.items if isinstance(x, str)).split())))
+        found.append((path, above, _hash(">".join(dict.fromkeys(k.kind for k in kids))), " ".join(" ".join(x for x in node.items if isinstance(x, str)).split())))
     below: list[list[int]] = [[] for _ in found]
     for i in range(len(found) - 1, -1, -1):  # children stand after their parent
         path, above, presentation, text = found[i]
@@ -181,7 +205,7 @@ def extract(source: str | None, removed: frozenset[int] = frozenset()) -> str:
             blocks.append(s)
         run.clear()
 
-    todo: list = list(reversed(mains)) or [(root, "")]
+    todo: list = list(reversed(mains)) or [(root, 0)]
     while todo:
         x, path = todo.pop()
         if x is flush:
@@ -191,8 +215,8 @@ def extract(source: str | None, removed: frozenset[int] = frozenset()) -> str:
         elif x.tag == "br" or x.tag == "wbr":
             run.append(" " if x.tag == "br" else "")
         elif not x.noise:
-            path += "/" + x.kind
-            if removed and not x.main and _hash(path) in removed:
+            path = _step(path, x.kind)
+            if removed and not x.main and path in removed:
                 continue
             if x.tag in _BLOCK or x.tag == "#root":
                 flush()
@@ -202,25 +226,19 @@ def extract(source: str | None, removed: frozenset[int] = frozenset()) -> str:
     return "\n\n".join(blocks)
 
 
-def host_of(url: str | None) -> str:
-    return re.split(r"[/?#]", url.split("://", 1)[1], maxsplit=1)[0].lower() if isinstance(url, str) and "://" in url else ""
-
-
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Elements of pages."""
     for b in batches:
         out = []
-        for url, source in zip(b["url"], b["html"], strict=True):
-            if not isinstance(source, str) or not source:
-                continue
-            host, page = _hash(host_of(url)), _hash(source)
-            out += [(host, page, *x) for x in branches(parse(source))]
-        yield pd.DataFrame(out, columns=["host", "page", "path", "presentation", "content"], dtype="int64")
+        for host, source in zip(b["host"], b["html"], strict=True):
+            if isinstance(source, str) and source:
+                page = _hash(source)
+                out += [(host, page, *x) for x in branches(parse(source))]
+        yield pd.DataFrame(out, columns=["host", "page", "path", "presentation", "content"])
 
 
-def template_paths(pages: DataFrame) -> DataFrame:
-    """(host, path) of low importance in the style trees of hosts."""
-    seen = pages.select("url", "html").mapInPandas(_features, "host long, page long, path long, presentation long, content long").distinct()
+def template_paths(seen: DataFrame) -> DataFrame:
+    """(host, path) of low importance in the style trees of hosts, from the distinct elements of pages (:func:`elements`)."""
     pages_with = seen.groupBy("host", "path").agg(F.count_distinct("page").alias("pages"))
 
     def entropy(c: str, name: str) -> DataFrame:
@@ -241,18 +259,22 @@ def _extractor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
+def elements(pages: DataFrame) -> DataFrame:
+    """host, page, path, presentation, content: the distinct elements of the pages (host, html)."""
+    return pages.select("host", "html").mapInPandas(_features, "host string, page long, path long, presentation long, content long").distinct()
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages (page_id, url, html).
 
-    Template paths of a host (bounded by its distinct element paths) come to its pages by a join on the host.
+    Template paths of a host (bounded by its distinct element paths) come to its pages by a broadcast, if they are few (they are counted),
+    else by a join on the host, whose skew adaptive execution splits.
     """
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    found = template_paths(pages).groupBy("host").agg(F.collect_list("path").alias("removed"))
-    hosts = pages.select("url").distinct().mapInPandas(_host_hashes, "url string, host long").join(found, "host").select("url", "removed")
-    at = pages.join(hosts, "url", "left") if not hosts.isEmpty() else pages
-    return at.mapInPandas(_extractor, "page_id long, url string, text string, n_chars long")
-
-
-def _host_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.DataFrame({"url": b["url"], "host": [_hash(host_of(u if isinstance(u, str) else None)) for u in b["url"]]})
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_path(F.col("url"))[0].alias("host"))
+    seen = cut(elements(pages))
+    paths, n = counted(template_paths(seen))
+    forget(seen)
+    if n:
+        found = paths.groupBy("host").agg(F.collect_list("path").alias("removed"))
+        pages = pages.join(F.broadcast(found) if n <= MOST_BROADCAST else found, "host", "left")
+    return pages.mapInPandas(_extractor, "page_id long, url string, text string, n_chars long")
