@@ -230,6 +230,20 @@ def test_parts_hold_all_that_whole_texts_give(monkeypatch):
     assert near == whole and sum(map(bool, whole)) > 100
 
 
+def test_addresses_with_leading_zeros():
+    t = "0" * 5000 + "1.2.3.0255 and 1.2.3.0256"
+    assert pii.base_spans(t) == [(0, 5010, 1)] == brute_spans(t[:4000] + t[4990:])[:1] or pii.base_spans(t)[0] == (0, 5010, 1)
+
+
+def test_field_on_held_out_rows():
+    """Precision and recall of whole entities on rows of another seed."""
+    field, held = pii.train(pii_labels.labelled_table()), pii_labels.labelled_table(400, 23)
+    found = [{(a, b) for a, b, _ in every} for _, every in pii.found([t for t, _ in held], field)]
+    gold = [{(t.index(x), t.index(x) + len(x)) for _, x in entities} for t, entities in held]
+    hit = sum(len(f & g) for f, g in zip(found, gold, strict=True))
+    assert hit / sum(map(len, found)) >= 0.9 and hit / sum(map(len, gold)) >= 0.8, (hit / sum(map(len, found)), hit / sum(map(len, gold)))
+
+
 def test_viterbi_equals_brute_force():
     r = np.random.default_rng(0)
     e, move = r.normal(size=(1, 4, 3)), r.normal(size=(3, 3))
@@ -259,6 +273,26 @@ def test_quality_statistics_equal_brute_force(spark):
         assert (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words) == brute_stats(texts[x.doc_id]), texts[x.doc_id]
 
 
+def test_wide_positions_and_clashing_columns(spark):
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abc") for _ in range(r.randint(0, 40))) for _ in range(30)]
+    df = documents(spark, [(i, t, "s") for i, t in enumerate(texts)]).withColumns({"_t": F.lit("mine"), "_w": F.lit(2), "n_words": F.lit("x")})
+    got = quality.statistics(df).withColumn("wide", quality.repeated_words(quality.words(F.col("text")), narrow=1)).collect()
+    assert all(x.n_repeat_words == x.wide and x["_t"] == "mine" and x["_w"] == 2 and isinstance(x.n_words, int) for x in got)
+    assert quality.judge(quality.statistics(documents(spark, [])), []).count() == 0
+
+
+def test_list_column_equals_rules(spark):
+    r = random.Random(9)
+    texts = [" ".join(r.choice(["word", "Xy", "#", "12"]) for _ in range(r.randint(0, 30))) for _ in range(80)]
+    stats = quality.statistics(documents(spark, [(i, t, "s") for i, t in enumerate(texts)]))
+    rules = [[(0, True, 5.0), (2, False, 0.1)], [(1, False, 2.5)], [(6, False, 0.2), (8, True, 0.5)]]
+    got = quality.judge(stats, rules).select("rule", "kept", "base_failed", *[c.alias(f"f{i}") for i, c in enumerate(quality.feature_columns().values())]).collect()
+    for x in got:
+        first = next((k for k, rule in enumerate(rules, 1) if quality._holds([x[f"f{i}"] for i in range(10)], rule)), 0)
+        assert x.rule == first and x.kept == (not first and not x.base_failed)
+
+
 def test_decision_list_learns_and_emits_one_expression(spark):
     r = random.Random(6)
     rows = [(*([r.random()] * 9), r.random(), 0) for _ in range(300)]
@@ -297,6 +331,14 @@ def test_urls_by_rule_and_features(spark):
     assert np.mean((m.margins([u for u, _ in held]) > 0) == np.array([v for _, v in held])) > 0.9
     column = url_filter.judge(spark.createDataFrame([(u,) for u, _ in held[:100]], "url string"), m).select("url", "block_margin").collect()
     assert np.allclose([r.block_margin for r in column], m.margins([r.url for r in column]))
+    names = {url_filter.FEATURES[t.feature] for tree in m.trees for t in (tree, tree.left, tree.right) if t is not None and t.left is not None}
+    assert {"parameters", "suffix", "digit_ratio"} <= names
+    plain = ["https://stratford-upon-avon.org/visit/map", "https://co-op-bank.net/about/history", "https://www.city-library.de/", "http://old-mill-press.com/poetry"]
+    odd = ["http://lucky8812.top/go?id=8382137&aff=77&sub=9x7f&u=a8f3kd92", "http://q8x7kd02jf.xyz/a9s8d7f6g5h4/?click=kd93jf84&token=83kd93kf93", "https://card-q9z8x7w6.click/h3j4k5l6m7?sid=9f8e7d6c5b&ref=x8&u=k2"]
+    assert (m.margins(plain) < 0).all() and (m.margins(odd) > 0).all()
+    clash = url_filter.judge(spark.createDataFrame([(plain[0], "h", 1)], "url string, host string, _given int"), m).first()
+    assert clash.host == "stratford-upon-avon.org" and clash["_given"] == 1
+    assert url_filter.judge(spark.createDataFrame([], "url string"), m).count() == 0
 
 
 # ---- pages ----
@@ -321,6 +363,53 @@ def test_site_style_tree_removes_templates(spark):
     assert len(got) == 15 and text[3] == "text number 3 of many" and text[20] == "alone" and text[21] == ""
 
 
+def test_names_do_not_judge_articles_and_headings():
+    assert html_extract.extract('<article class="social-history"><h2 id="comments-on-law">Law</h2><p>x</p><div class="share">no</div></article>') == "Law\n\nx"
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 3000 + "<article><p>in</p><nav>out</nav></article>" + "</div>" * 3000 + "</b>" * 3000
+    assert html_extract.extract(deep) == "in"
+    assert html_extract.extract("<article>" + "<p>a b</p>" * 20000 + "</article>") == "\n\n".join(["a b"] * 20000)
+
+
+def test_style_tree_equals_brute_force(spark):
+    r = random.Random(7)
+    pages = []
+    for i in range(60):
+        boxes = "".join(f"<div class=b{k}>{'same' if r.random() < k / 6 else r.random()}</div>" for k in range(6) if r.random() < 0.9)
+        pages.append((i, f"http://h{i % 3}.example/{i}", f"<body><article><p>own {i}</p>{boxes}<ul><li>x</li><li>{i % 2}</li></ul></article></body>"))
+    pages.append(pages[0])
+    trees = {}
+    for host, html in {(u.split("/")[2], h) for _, u, h in pages}:
+        def walk(node, path):
+            here = (*path, node.kind)
+            kids = [k for k in node.items if isinstance(k, html_extract.Node) and not k.noise]
+            text = " ".join(" ".join(x for x in node.items if isinstance(x, str)).split())
+            below = [c for k in kids if (c := walk(k, here))]
+            content = (text, tuple(below)) if text or below else None
+            trees.setdefault((host, here), set()).add((html, tuple(dict.fromkeys(k.kind for k in kids)), content))  # noqa: B023
+            return content
+
+        walk(html_extract.parse(html), ())
+
+    def entropy(values):
+        n = {v: values.count(v) for v in values}
+        return -sum(c / len(values) * np.log(c / len(values)) for c in n.values()) / np.log(len(values)) if len(values) > 1 else 1.0
+
+    want = set()
+    for (host, path), seen in trees.items():
+        importance = max(entropy([p for _, p, _ in seen]), html_extract.DAMPING * entropy([c for _, _, c in seen]))
+        if len({h for h, _, _ in seen}) >= html_extract.MIN_PAGES and importance < html_extract.THRESHOLD:
+            key = 0
+            for kind in path:
+                key = html_extract._step(key, kind)
+            want.add((host, key))
+    df = spark.createDataFrame([(u.split("/")[2], h) for _, u, h in pages], "host string, html string")
+    assert {(x.host, x.path) for x in html_extract.template_paths(html_extract.elements(df)).collect()} == want and len(want) >= 3
+    assert html_extract.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 # ---- chat ----
 
 def test_chat_round_trip(spark):
@@ -335,6 +424,21 @@ def test_chat_round_trip(spark):
         loss += run.chars if run.loss else 0
         at += run.chars
     assert at == len(got[1].formatted) and loss == len(odd.replace("\\", "\\b").replace("<", "\\l").replace(">", "\\g"))
+    under = {r.conv_id: r.t for r in formatted.select("conv_id", chat.text_under_loss(F.col("formatted"), F.col("loss_runs")).alias("t")).collect()}
+    assert under == {1: odd, 2: "", None: ""}
+    wrong = F.transform("loss_runs", lambda r: F.struct(r["chars"].alias("chars"), (r["bytes"] - 1).alias("bytes"), r["loss"].alias("loss")))
+    assert formatted.filter("conv_id = 1").select(chat.text_under_loss(F.col("formatted"), wrong)).first()[0] != odd
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_conversations(none)).count() == 0
+
+
+def test_chat_of_a_long_conversation_with_repeated_and_clashing_columns(spark):
+    rows = [(7, i % 400, "user" if i % 7 else "assistant", f"ä<{i}>" * (2000 if i == 5 else 1)) for i in range(800)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"turns": F.lit(1), "formatted": F.lit("x")})
+    f = chat.format_conversations(df)
+    got = chat.read_back(f).select("turns", chat.text_under_loss(F.col("formatted"), F.col("loss_runs")).alias("t")).first()
+    ordered = [(r, t) for _, r, t in sorted((t, r, x) for _, t, r, x in rows)]
+    assert [(t.role, t.text) for t in got.turns] == sorted(ordered, key=lambda x: 0) and got.t == "".join(t for r, t in ordered if r == "assistant")
 
 
 # ---- images ----

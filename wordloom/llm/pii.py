@@ -41,6 +41,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _byte(digits: str) -> bool:
+    """At most 255, with any number of zeros before it."""
+    bare = digits.lstrip("0")
+    return len(bare) < 3 or (len(bare) == 3 and bare <= "255")
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     done, at = 0, text.find("@")
     while at >= 0:
@@ -62,7 +68,7 @@ def base_spans(text: str) -> list[Span]:
             if "." in m[0]:
                 parts = [(n.start(), n.end()) for n in _NUMBER.finditer(text, m.start(), m.end())]
                 for i in range(0, len(parts) - 3, 4):
-                    if all(b - a <= 4300 and int(text[a:b]) <= 255 for a, b in parts[i : i + 4]):
+                    if all(_byte(text[a:b]) for a, b in parts[i : i + 4]):
                         out.append((parts[i][0], parts[i + 3][1], 1))
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")

@@ -7,7 +7,8 @@ The list is emitted as one ordered conditional expression.
 
 Defined cases: null and empty texts have all statistics 0 and fail the base rules; repeated rows are
 judged alike; documents without label are only judged; without labels of both kinds the list is empty and
-keeps everything that the base rules keep; extra columns pass through; an empty table stays empty.
+keeps everything that the base rules keep; extra columns pass through, but for those that have the name of a statistic or of base_failed, rule
+or kept, which the result has anew; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, fresh
 
 SAMPLE, BINS, MOST_RULES, MOST_CONDITIONS, MIN_PRECISION, MIN_COVER = 12_000, 24, 12, 4, 0.8, 5
 WINDOW = 5
@@ -29,11 +30,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def repeated_words(w: Column) -> Column:
+def repeated_words(w: Column, narrow: int = 1 << 24) -> Column:
     """Number of words that lie in windows of WINDOW words which occur twice or more.
 
     Hashes of windows are sorted as plain longs to find repeated ones. Only if there are any, a second sort
-    of (40 bits of hash, position) finds their places: those whose neighbour has the same full hash.
+    of (40 bits of hash, position) finds their places: those whose neighbour has the same full hash. Texts of 2 ** 24 windows or more,
+    whose positions take more bits, are sorted as structs.
     """
     n = F.size(w)
     at = lambda i: F.element_at(w, i)
@@ -48,7 +50,13 @@ def repeated_words(w: Column) -> Column:
             last = F.size(s)
             return F.filter(F.transform(s, lambda x, j: F.when(((j > 0) & (value(s, F.greatest(j, F.lit(1))) == F.element_at(h, place(x) + 1))) | ((j + 1 < last) & (value(s, F.least(j + 2, last)) == F.element_at(h, place(x) + 1))), place(x))), lambda p: p.isNotNull())
 
-        return F.sort_array(_let(packed, twin))
+        def wide(s: Column) -> Column:
+            same = lambda j, k: F.element_at(s, j)["x"] == F.element_at(s, k)["x"]
+            last = F.size(s)
+            return F.filter(F.transform(s, lambda v, j: F.when(((j > 0) & same(j + 1, F.greatest(j, F.lit(1)))) | ((j + 1 < last) & same(j + 1, F.least(j + 2, last))), v["i"])), lambda p: p.isNotNull())
+
+        structs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.cast("int").alias("i"))))
+        return F.sort_array(F.when(F.size(h) < F.lit(narrow), _let(packed, twin)).otherwise(_let(structs, wide)))
 
     def covered(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, j: F.when(j + 1 < F.size(p), F.least(F.lit(WINDOW), F.element_at(p, F.least(j + 2, F.size(p))) - x)).otherwise(F.lit(WINDOW))), F.lit(0), lambda a, x: a + x)
@@ -70,20 +78,21 @@ def _let(value: Column, body) -> Column:
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and other counts under _names."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_t", t).withColumn("_w", words(F.col("_t"))).withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: x.rlike(WORD)))
-    size = lambda pattern: F.regexp_count("_t", F.lit(pattern)).cast("long")
+    _t, _w, _lines = (fresh(x, docs.columns) for x in ("_t", "_w", "_lines"))
+    df = docs.withColumn(_t, t).withColumn(_w, words(F.col(_t))).withColumn(_lines, F.filter(F.split(_t, "\n"), lambda x: x.rlike(WORD)))
+    size = lambda pattern: F.regexp_count(_t, F.lit(pattern)).cast("long")
     return df.withColumns({
-        "n_words": F.size("_w").cast("long"),
-        "word_chars": F.length(F.translate("_t", " \t\n\x0b\x0c\r", "")).cast("long"),
-        "n_symbols": (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_w")),
-        "_n_lines": F.size("_lines").cast("long"),
+        "n_words": F.size(_w).cast("long"),
+        "word_chars": F.length(F.translate(_t, " \t\n\x0b\x0c\r", "")).cast("long"),
+        "n_symbols": (F.length(_t) - F.length(F.translate(_t, "#*$%&|<>", ""))).cast("long"),
+        "n_dup_lines": (F.size(_lines) - F.size(F.array_distinct(_lines))).cast("long"),
+        "n_repeat_words": repeated_words(F.col(_w)),
+        "_n_lines": F.size(_lines).cast("long"),
         "_upper": size("[A-Z]"),
         "_digits": size("[0-9]"),
         "_exclaim": size("[!?]"),
-        "_distinct": F.size(F.array_distinct("_w")).cast("long"),
-    }).drop("_t", "_w", "_lines")
+        "_distinct": F.size(F.array_distinct(_w)).cast("long"),
+    }).drop(_t, _w, _lines)
 
 
 def feature_columns() -> dict[str, Column]:

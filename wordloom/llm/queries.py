@@ -28,7 +28,7 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = url_filter.train(url_labels.labelled_urls())
-    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), model).select("page_id", "host", "path", "rule", "verdict", "block_margin")
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), model).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +75,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
     back = chat.read_back(chat.format_conversations(rows.unionByName(own)))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == chat.ASSISTANT), lambda t: t["text"]), "")
     digest = lambda c: F.sha2(c.cast("binary"), 256)
-    back = back.withColumn("_loss", loss)
+    back = back.withColumn("_loss", chat.text_under_loss(F.col("formatted"), F.col("loss_runs")))
     return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(whole).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"), digest(F.col("_loss")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
@@ -114,5 +113,25 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(chars) + 7 AS BIGINT) AS formatted_chars
 FROM counted GROUP BY conv_id"""
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: All pairs that share a shingle, and the closure of their links: for small tables only.
+_OP6 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.c + b.c - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(x, y) AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+m AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.c, 0) AS n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) AS component_id, d.doc_id <= coalesce(m.y, d.doc_id) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.x = d.doc_id"""
+
 #: SQL where it can express the whole result. The others are tested against brute-force versions in tests/llm.
-ORACLE_SQL = {"op8_chat_format": _OP8}
+ORACLE_SQL = {"op6_near_duplicates": _OP6, "op8_chat_format": _OP8}
+
+
+def oracle_sql() -> dict[str, str]:
+    """ORACLE_SQL with the url trees, which are trained for it, as SQL."""
+    return {**ORACLE_SQL, "op2_url_filter": url_filter.judge_sql(url_filter.train(url_labels.labelled_urls()), "pages", "page_id")}

@@ -4,7 +4,8 @@ The trees are trained on the driver from a labelled table of urls (a bounded sam
 SAMPLE rows) and are emitted as Spark expressions, so that judging a table of urls is one narrow stage.
 
 Defined cases: null urls and urls without :// have empty host and path, fit no rule and are judged by their
-features; repeated rows are judged alike; extra columns pass through; an empty table stays empty.
+features; repeated rows are judged alike; extra columns pass through, but for those called host, path, rule, block_margin or verdict, which
+the result has anew; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 SAMPLE, ROUNDS, DEPTH, RATE, BINS = 20_000, 40, 3, 0.3, 32
 
 #: Host and path of a rule, verdict. The longest that fits wins.
@@ -160,7 +163,35 @@ def train(labelled: Sequence[tuple[str, int]], rounds: int = ROUNDS, depth: int
 def judge(pages: DataFrame, model: Model, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """pages (url, ...) with host, path, rule, block_margin and verdict."""
     host, path = host_path(F.col("url"))
-    df = pages.withColumns({"host": host, "path": path})
+    df = pages.drop("host", "path", "rule", "block_margin", "verdict").withColumns({"host": host, "path": path})
+    given = fresh("_given", df.columns)
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
-    df = df.withColumn("block_margin", model.margin(F.col("url"), F.col("host"), F.col("path"))).withColumns({"rule": rule, "_v": verdict})
-    return df.withColumn("verdict", F.coalesce("_v", F.when(F.col("block_margin") > 0, F.lit("block")).otherwise(F.lit("allow")))).drop("_v")
+    df = df.withColumn("block_margin", model.margin(F.col("url"), F.col("host"), F.col("path"))).withColumns({"rule": rule, given: verdict})
+    return df.withColumn("verdict", F.coalesce(given, F.when(F.col("block_margin") > 0, F.lit("block")).otherwise(F.lit("allow")))).drop(given)
+
+
+def judge_sql(model: Model, table: str, key: str, rules: Sequence[tuple[str, str]] = RULES) -> str:
+    """The same as :func:`judge` in DuckDB's SQL, with the trees as CASE expressions: key, host, path, rule, verdict."""
+    count = lambda c, p: f"len(regexp_extract_all({c}, '{p}'))"
+    suffix = "CASE " + " ".join(f"WHEN x = '{s}' THEN {v!r}::DOUBLE" for s, v in sorted(model.suffixes.items())) + f" ELSE {model.prior!r}::DOUBLE END"
+    features = {
+        "length": "length(u)::DOUBLE", "host_length": "length(host)::DOUBLE", "depth": f"{count('path', '/[^/]')}::DOUBLE",
+        "digit_ratio": f"CASE WHEN u <> '' THEN {count('u', '[0-9]')}::DOUBLE / length(u) ELSE 0 END", "hyphens": f"{count('host', '-')}::DOUBLE",
+        "host_digits": f"{count('host', '[0-9]')}::DOUBLE", "labels": f"{count('host', '[.]')}::DOUBLE",
+        "entropy": "CASE WHEN host = '' THEN 0 ELSE list_sum(list_transform(list_distinct(string_split(host, '')), lambda c: -((length(host) - length(replace(host, c, '')))::DOUBLE / length(host)) * log2((length(host) - length(replace(host, c, '')))::DOUBLE / length(host)))) END",
+        "parameters": f"{count('u', '[?&][^?&#]*=')}::DOUBLE", "longest_label": "list_max(list_transform(string_split(host, '.'), lambda x: length(x)))::DOUBLE",
+        "vowel_ratio": f"CASE WHEN host <> '' THEN {count('host', '[aeiou]')}::DOUBLE / length(host) ELSE 0 END", "suffix": suffix,
+    }
+
+    def tree(t: Tree) -> str:
+        return repr(t.value) + "::DOUBLE" if t.left is None else f"CASE WHEN f_{FEATURES[t.feature]} <= {t.threshold!r}::DOUBLE THEN {tree(t.left)} ELSE {tree(t.right)} END"
+
+    fits = lambda r: "(host = '{0}' OR host LIKE '%.{0}') AND starts_with(path, '/{1}')".format(*r.split("/", 1))
+    longest = sorted(rules, key=lambda x: -len(x[0]))
+    choice = lambda i: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{(r, v)[i]}'" for r, v in longest) + " END"
+    return f"""WITH a AS (SELECT {key}, coalesce(url, '') AS u, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest FROM {table}),
+b AS (SELECT *, coalesce(regexp_extract(rest, '^([^/?#]*)', 1), '') AS raw FROM a),
+c AS (SELECT *, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1), '') AS path FROM b),
+d AS (SELECT *, CASE WHEN contains(host, '.') THEN string_split(host, '.')[-1] ELSE '' END AS x FROM c),
+f AS (SELECT *, {", ".join(f"{sql} AS f_{name}" for name, sql in features.items())} FROM d)
+SELECT {key}, host, path, {choice(0)} AS rule, coalesce({choice(1)}, CASE WHEN {model.base!r}::DOUBLE + {" + ".join(map(tree, model.trees)) or "0"} > 0 THEN 'block' ELSE 'allow' END) AS verdict FROM f"""

@@ -1,20 +1,36 @@
-"""A labelled table of urls: harmless sites, and gambling, pharmacy, loan and tracking sites. Invented hosts, fixed order."""
+"""A labelled table of urls, 1 for block: drawn by a keyed generator, in which every feature overlaps between the labels. Hosts are invented."""
 
 from __future__ import annotations
 
-import itertools
+import random
 
-_GOOD = "garden library harbour physics museum rivers bakery history ocean valley forest school concert bridge journal kitchen archive village weather climate atlas cinema orchard village2 poetry council railway meadow lantern theatre city-library old-mill-press".split()
-_BAD = "mega-jackpot bonus-wager pills-direct clix-beacon3 win-cash-now best-loans-24 hot-singles-4u click-bonus poker-king77 rx-discount replica-watch crypto-double track-pixel banner-ads4 easy-money-99 slots-vip free-gift-cards debt-relief-now pay-day-fast lucky-spin888".split()
-_TOPS = "example.com example.net example.org".split()
-_GOOD_PATHS = ("/en/{n}", "/de/{n}.html", "/fr/{n}/", "/en/{n}#top", "/es/{n}?page=2&ref=x", "/en/{n}?utm_source=feed", "/about/team/{n}", "/")
-_BAD_PATHS = ("/en/{n}", "/de/{n}.html", "/es/{n}/", "/en/{n}#top", "/fr/{n}?page=2&ref=x", "/en/{n}?utm_source=feed", "/go?id={n}&aff=77&sub=9", "/")
-_FRONT = ("", "www.", "blog.", "m.")
+_WORDS = "garden library harbour physics museum river bakery history ocean valley forest school concert bridge journal kitchen archive village weather climate atlas cinema orchard poetry council railway meadow lantern theatre market bonus deal lucky play offer card travel north press studio health sport news photo".split()
+#: Suffixes with how often they occur among harmless and among blocked urls.
+_SUFFIXES = {"org": (20, 5), "com": (30, 28), "net": (12, 12), "edu": (8, 0), "info": (5, 9), "de": (8, 4), "fr": (8, 4), "es": (6, 3), "top": (1, 12), "xyz": (1, 12), "click": (0, 8), "site": (1, 7)}
+_KEYS = "id q page ref lang sort u aff sub sid campaign token click".split()
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    out = []
-    for label, names, paths in ((0, _GOOD, _GOOD_PATHS), (1, _BAD, _BAD_PATHS)):
-        for k, (name, path, top) in enumerate(itertools.product(names, paths, _TOPS)):
-            out.append((f"http{'s' * (k % 3 > 0)}://{_FRONT[k % 4]}{name}.{top}{path.format(n=(k * 7919) % 9973)}", label))
-    return out
+def _noise(r: random.Random, n: int) -> str:
+    return "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+
+
+def _url(r: random.Random, bad: bool) -> str:
+    words = [r.choice(_WORDS) for _ in range(r.choice((1, 1, 2, 2, 3)))]
+    if r.random() < (0.45 if bad else 0.05):
+        words.append(_noise(r, r.randint(5, 12)))
+    if r.random() < (0.4 if bad else 0.06):
+        words[-1] += str(r.randint(1, 9999))
+    host = ("-" if r.random() < 0.35 else "").join(words)  # hyphens say nothing
+    front = r.choice(("", "", "www.", "blog.", "m.", "shop."))
+    suffix = r.choices(list(_SUFFIXES), [w[bad] for w in _SUFFIXES.values()])[0]
+    parts = [r.choice(_WORDS) if r.random() < (0.4 if bad else 0.8) else _noise(r, r.randint(6, 20)) if r.random() < (0.6 if bad else 0.1) else str(r.randint(1, 99999)) for _ in range(r.choice((0, 1, 2, 3)) + (r.random() < 0.3 and bad))]
+    path = "/" + "/".join(parts) + r.choice(("", "", "/", ".html") if parts else ("",))
+    count = r.choice((0, 1, 2, 3, 4, 5) if bad else (0, 0, 0, 0, 1, 2))
+    query = "&".join(f"{r.choice(_KEYS)}={_noise(r, r.randint(3, 16)) if r.random() < (0.7 if bad else 0.2) else r.choice(_WORDS)}" for _ in range(count))
+    return f"http{'s' * (r.random() < 0.7)}://{front}{host}.{suffix}{path}{'?' + query if query else ''}{'#top' if r.random() < 0.05 else ''}"
+
+
+def labelled_urls(size: int = 6000, seed: int = 17) -> list[tuple[str, int]]:
+    """The same rows at each call; two in five are to be blocked."""
+    r = random.Random(seed)
+    return [(_url(r, label), int(label)) for label in (r.random() < 0.4 for _ in range(size))]
