@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from wordloom import catalog
+from wordloom import catalog, catalog_studies  # noqa: F401 (registers queries)
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

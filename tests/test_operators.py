@@ -286,7 +286,7 @@ def test_files(spark, tmp_path):
     readers.write_pairs(spark.createDataFrame([(1.0, "x", "y")], "score double, first string, second string"), str(tmp_path / "out"))
     assert readers.labelled_pairs(spark, str(tmp_path / "out")).collect()[0].first == "x"
     (tmp_path / "p.txt").write_text("t|h|e|\tDH|-|AH|\n")
-    assert readers.pronunciations(spark, str(tmp_path / "p.txt")).first().phones == ["[START]", "DH", "-", "AH", "[END]"]
+    assert readers.pronunciations(spark, str(tmp_path / "p.txt")).first().phones == ["DH", "-", "AH"]
     (tmp_path / "t.csv").write_text("v1,0,0,\"{'phase': 'Experiment', 'status': 'submit'}\"\n")
     assert readers.trials(spark, str(tmp_path / "t.csv")).first().phase == "Experiment"
 

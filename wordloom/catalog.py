@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .functions import metrics, stats
-from .functions.chars import ascii_lower, uniform
-from .operators import perturb, phonetic, posterior, prior, report, study, tokens
+from .functions import metrics, stats, vectors
+from .functions.chars import LETTERS, ascii_lower
+from .operators import evaluation, lookalike, perturb, phonetic, posterior, prior, report, spelling, study, tokens
 from .plans import restore
 
 QUERIES: dict = {}
@@ -72,7 +71,7 @@ def ascii_lower_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT conv_id, turn, regexp_replace(trim(lower(text)), '\.\z', '') AS cleaned FROM conversations")
 def clean_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(F.trim(F.lower("text")), r"\.\z", "").alias("cleaned"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", evaluation.normal(F.col("text")).alias("cleaned"))
 
 
 _BENCH_WORDS = "w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark)"
@@ -106,7 +105,11 @@ def dictionary_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- perturbations: word level with exact SQL, documents as a whole against brute force ----
 
-_TOKENS = r"tok AS (SELECT item_id, unnest(ts) AS w, generate_subscripts(ts, 1) - 1 AS pos FROM (SELECT item_id, regexp_extract_all(text, '[\p{L}\p{N}]+(?:[''.\-][\p{L}\p{N}]+)*|[^\s]') AS ts FROM benchmark))"
+def _tokens_sql(source: str = "benchmark") -> str:
+    return rf"tok AS (SELECT item_id, unnest(ts) AS w, generate_subscripts(ts, 1) - 1 AS pos FROM (SELECT item_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+(?:[''.\-][\p{{L}}\p{{N}}]+)*|[^\s]') AS ts FROM {source}))"
+
+
+_TOKENS = _tokens_sql()
 
 
 def bench_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,17 +122,20 @@ def _attacked_words(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", perturb.perturb(F.col("text"), method, LEVEL, key).alias("attacked"))
 
 
-def _attack_sql(method: str, new: str) -> str:
-    return rf"""WITH {_TOKENS},
-n AS (SELECT item_id, w, pos, '{method}|{SEED}|' || item_id AS k, count(*) OVER (PARTITION BY item_id) AS n FROM tok),
+def _attack_sql(method: str, new: str, level: float = LEVEL, source: str = "benchmark", key: str = f"{SEED}|") -> str:
+    return rf"""WITH {_tokens_sql(source)},
+n AS (SELECT item_id, w, pos, '{method}|{key}' || item_id AS k, count(*) OVER (PARTITION BY item_id) AS n FROM tok),
 c AS (SELECT *, {new} AS new_ FROM n),
 o AS (SELECT *, md5('order|' || k || '|' || pos) || lpad(pos::VARCHAR, 9, '0') AS u FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id, w <> new_ ORDER BY u) AS turn_ FROM o),
-j AS (SELECT item_id, string_agg(CASE WHEN w <> new_ AND turn_ <= ceil(n * CAST({LEVEL} AS DOUBLE)) THEN new_ ELSE w END, ' ' ORDER BY pos) AS s FROM r GROUP BY item_id)
+j AS (SELECT item_id, string_agg(CASE WHEN w <> new_ AND turn_ <= ceil(n * CAST({level} AS DOUBLE)) THEN new_ ELSE w END, ' ' ORDER BY pos) AS s FROM r GROUP BY item_id)
 SELECT item_id, regexp_replace(regexp_replace(s, ' ([.,:;?!%)\]}}])', '\1', 'g'), '([(\[{{$#]) ', '\1', 'g') AS attacked FROM j"""
 
 
-@query(_attack_sql("disemvowel", "CASE WHEN length(w) < 3 OR regexp_replace(w, '[AEIOUaeiou]', '', 'g') = '' THEN w ELSE regexp_replace(w, '[AEIOUaeiou]', '', 'g') END"))
+_DISEMVOWEL_SQL = "CASE WHEN length(w) < 3 OR regexp_replace(w, '[AEIOUaeiou]', '', 'g') = '' THEN w ELSE regexp_replace(w, '[AEIOUaeiou]', '', 'g') END"
+
+
+@query(_attack_sql("disemvowel", _DISEMVOWEL_SQL))
 def attack_disemvowel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attacked_words(spark, sf_dir, "disemvowel")
 
@@ -139,19 +145,25 @@ def attack_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attacked_words(spark, sf_dir, "truncate")
 
 
-@query(_attack_sql("natural-typo", "coalesce(map {" + ", ".join(f"'{a}': '{b}'" for a, b in perturb.TYPOS.items()) + "}[w], w)"))
+_U = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+_LISTED = "(map {" + ", ".join(f"'{a}': {b.split(' ')!r}" for a, b in perturb.TYPOS.items()) + "}[w])"
+
+
+@query(_attack_sql("natural-typo", f"coalesce({_LISTED}[CAST(floor({_U.format(chr(39) + 'typo|' + chr(39) + ' || k || ' + chr(39) + '|' + chr(39) + ' || pos')} * len({_LISTED})) AS INT) + 1], w)"))
 def attack_natural(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attacked_words(spark, sf_dir, "natural-typo")
 
 
-_U = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 _KEYS = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in perturb.KEYBOARD.items()) + "}"
 _AT = f"CAST(floor({_U.format(chr(39) + 'at|' + chr(39) + ' || k || ' + chr(39) + '|' + chr(39) + ' || pos')} * length(w)) AS INT) + 1"
 _NEAR = f"{_KEYS}[lower(substr(w, {_AT}, 1))]"
 _KU = _U.format("'key|' || k || '|' || pos")
 
 
-@query(_attack_sql("keyboard-typo", f"coalesce(substr(w, 1, {_AT} - 1) || substr({_NEAR}, CAST(floor({_KU} * length({_NEAR})) AS INT) + 1, 1) || substr(w, {_AT} + 1), w)"))
+_KEYBOARD_SQL = f"coalesce(substr(w, 1, {_AT} - 1) || substr({_NEAR}, CAST(floor({_KU} * length({_NEAR})) AS INT) + 1, 1) || substr(w, {_AT} + 1), w)"
+
+
+@query(_attack_sql("keyboard-typo", _KEYBOARD_SQL))
 def attack_keyboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attacked_words(spark, sf_dir, "keyboard-typo")
 
@@ -161,32 +173,52 @@ def attack_full_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attacked_words(spark, sf_dir, "full-swap")
 
 
-@query()
+_INNER = "substr(w, 2, length(w) - 2)"
+
+
+@query(_attack_sql("inner-swap", f"CASE WHEN length(w) < 4 THEN w ELSE left(w, 1) || coalesce(list_filter(list_transform(range(10), lambda t: array_to_string(list_transform(list_sort(list_transform(range(1, length(w) - 1), lambda i: md5(k || '|' || pos || '|' || t || '|' || (i - 1)) || substr({_INNER}, i, 1))), lambda x: substr(x, 33)), '')), lambda x: x <> {_INNER})[1], {_INNER}) || right(w, 1) END"))
 def attack_inner_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attacked_words(spark, sf_dir, "inner-swap")
 
 
-@query()
+_MARKS_SQL = "'" + perturb.MARKS.replace("'", "''") + "'"
+_MARK = f"substr({_MARKS_SQL}, CAST(floor({_U.format(chr(39) + 'mark|' + chr(39) + ' || k || ' + chr(39) + '|' + chr(39) + ' || pos')} * 32) AS INT) + 1, 1)"
+_GAP = f"(CAST(floor({_U.format(chr(39) + 'gap|' + chr(39) + ' || k || ' + chr(39) + '|' + chr(39) + ' || pos')} * (length(w) - 1)) AS INT) + 1)"
+_PUT = _U.format("'put|' || k || '|' || pos || '|' || t || '|' || (i - 1)")
+_ONE = f"substr(w, 1, {_GAP}) || {_MARK} || substr(w, {_GAP} + 1)"
+
+
+@query(_attack_sql("intrude", rf"CASE WHEN length(w) < 2 OR NOT regexp_matches(w, '[\p{{L}}\p{{N}}]') THEN w WHEN length(w) = 2 THEN {_ONE} ELSE coalesce(list_filter(list_transform(range(10), lambda t: array_to_string(list_transform(range(1, length(w) + 1), lambda i: CASE WHEN i > 1 AND {_PUT} < CAST({LEVEL} AS DOUBLE) THEN {_MARK} ELSE '' END || substr(w, i, 1)), '')), lambda x: x <> w)[1], {_ONE}) END"))
 def attack_intrude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attacked_words(spark, sf_dir, "intrude")
 
 
-@query()
+_LIKE = "map {" + ", ".join(f"'{c}': [" + ", ".join("{{'v': '{}', 'p': {!r}::DOUBLE}}".format(v.replace("'", "''"), p) for v, p in vs) + "]" for c, vs in lookalike.table().items()) + "}"
+_VU, _WU = (_U.format(f"'{x}|' || k || '|' || i") for x in "vw")
+
+
+@query(f"""WITH m AS (SELECT {_LIKE} AS m), c AS (SELECT item_id, '{SEED}|' || item_id AS k, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM benchmark)
+SELECT item_id, string_agg(CASE WHEN m[c] IS NOT NULL AND {_VU} < CAST({LEVEL} AS DOUBLE) THEN list_filter(m[c], lambda x: x.p >= {_WU})[1].v ELSE c END, '' ORDER BY i) AS attacked FROM c, m GROUP BY item_id""")
 def attack_visual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attacked_words(spark, sf_dir, "visual")
 
 
-_SEG = f"{_U.format(chr(39) + 'drop|' + chr(39) + ' || k || ' + chr(39) + '|' + chr(39) + ' || i')}"
-_ADD = f"{_U.format(chr(39) + 'add|' + chr(39) + ' || k || ' + chr(39) + '|' + chr(39) + ' || i')}"
+def _segmentation_sql(level: float = LEVEL, key: str = f"{SEED}|") -> str:
+    u = lambda x: _U.format(f"'{x}|' || k || '|' || i")
+    return f"""WITH c AS (SELECT item_id, '{key}' || item_id AS k, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM benchmark)
+SELECT item_id, string_agg(CASE WHEN c = ' ' AND {u('drop')} < CAST({level} AS DOUBLE) THEN '' WHEN c <> ' ' AND {u('add')} < CAST({level} AS DOUBLE) / 10 THEN ' ' || c ELSE c END, '' ORDER BY i) AS attacked FROM c GROUP BY item_id"""
 
 
-@query(f"""WITH c AS (SELECT item_id, '{SEED}|' || item_id AS k, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM benchmark)
-SELECT item_id, string_agg(CASE WHEN c = ' ' AND {_SEG} < CAST({LEVEL} AS DOUBLE) THEN '' WHEN c <> ' ' AND {_ADD} < CAST({LEVEL} AS DOUBLE) / 10 THEN ' ' || c ELSE c END, '' ORDER BY i) AS attacked FROM c GROUP BY item_id""")
+@query(_segmentation_sql())
 def attack_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attacked_words(spark, sf_dir, "segmentation")
 
 
-@query()
+_STEP1 = f"(SELECT item_id, attacked AS text FROM ({_segmentation_sql(0.2, f'0|{SEED}|')}))"
+_STEP2 = f"(SELECT item_id, attacked AS text FROM ({_attack_sql('disemvowel', _DISEMVOWEL_SQL, 0.3, _STEP1, f'1|{SEED}|')}))"
+
+
+@query(_attack_sql("keyboard-typo", _KEYBOARD_SQL, 0.2, _STEP2, f"2|{SEED}|"))
 def attack_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.concat_ws("|", F.lit(str(SEED)), F.col("item_id").cast("string"))
     return table(spark, sf_dir, "benchmark").select("item_id", perturb.composed(F.col("text"), [("segmentation", 0.2), ("disemvowel", 0.3), ("keyboard-typo", 0.2)], key).alias("attacked"))
@@ -202,12 +234,17 @@ def phoneme_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phonetic.statistics(phonetic.aligned_table(spark))
 
 
-@query()
+_SLOTS = "map {" + ", ".join(f"'{w}': [" + ", ".join(f"{{'own': '{own}', 'ways': [" + ", ".join(f"{{'y': '{y}', 'q': {q!r}::DOUBLE}}" for y, q in ways) + "]}" for own, ways in ss) + "]" for w, ss in phonetic.slots(LEVEL).items()) + "}"
+_CHANCE = repr(phonetic.level(LEVEL)[1]) + "::DOUBLE"
+_PH, _WAY, _WORD = (_U.format(x) for x in ("'ph|' || k || '|' || i || '|' || (j - 1)", "'way|' || k || '|' || i || '|' || (j - 1)", "'word|' || k || '|' || i"))
+
+
+@query(f"""WITH m AS (SELECT {_SLOTS} AS m), p AS (SELECT item_id, '{SEED}|' || item_id AS k, regexp_extract_all(text, '(?s)[a-zA-Z'']+|.') AS p FROM benchmark),
+x AS (SELECT item_id, k, unnest(p) AS x, generate_subscripts(p, 1) - 1 AS i FROM p),
+n AS (SELECT *, array_to_string(list_transform(m[lower(x)], lambda s, j: CASE WHEN {_PH} < {_CHANCE} THEN list_filter(s.ways, lambda y: y.q >= {_WAY})[1].y ELSE s.own END), '') AS new_ FROM x, m)
+SELECT item_id, string_agg(CASE WHEN m[lower(x)] IS NOT NULL AND {_WORD} < {_CHANCE} THEN CASE WHEN regexp_matches(x, '^[A-Z]') THEN upper(left(new_, 1)) || substr(new_, 2) ELSE new_ END ELSE x END, '' ORDER BY i) AS attacked FROM n GROUP BY item_id""")
 def attack_phonetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Respelled words of the benchmark that the aligned table knows, and how often they occur."""
-    a = phonetic.aligned_table(spark)
-    known = bench_words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
-    return a.select("word").join(phonetic.respelled(a, phonetic.statistics(a)), "word").join(known, "word", "left")
+    return _attacked_words(spark, sf_dir, "phonetic")
 
 
 # ---- scores of attacked texts ----
@@ -225,17 +262,6 @@ def edit_distance_attacked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("item_id", F.levenshtein(plain("text"), plain("attacked")).cast("long").alias("distance"))
 
 
-@query()
-def scores_of_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean scores of the attacked benchmark for each method."""
-    out = None
-    for m in ("disemvowel", "truncate", "full-swap", "natural-typo"):
-        p = attacked_pairs(spark, sf_dir, m).withColumns({"bleu": metrics.bleu(F.col("ref"), F.col("hyp")), "rouge1": metrics.rouge_n_precision(F.col("ref"), F.col("hyp"), 1), "rouge4": metrics.rouge_n_precision(F.col("ref"), F.col("hyp"), 4), "rougel": metrics.rouge_l_precision(F.col("ref"), F.col("hyp")), "distance": metrics.edit_distance(F.col("text"), F.col("attacked"))})
-        own = p.agg(F.lit(m).alias("method"), *[F.round(F.avg(c), 6).alias(c) for c in ("bleu", "rouge1", "rouge4", "rougel", "distance")], F.round(F.avg((F.col("bleu") >= 1 - 1e-12).cast("double")), 6).alias("perfect"))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
 _PAIR_TOKENS = "p AS (SELECT a.item_id, string_split(text, ' ') AS r, string_split(attacked, ' ') AS h FROM benchmark JOIN a USING (item_id))"
 
 
@@ -253,6 +279,35 @@ def bleu_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("item_id", F.round(metrics.bleu(r, h), 6).alias("bleu"), F.round(metrics.rouge_n_precision(r, h, 1), 6).alias("rouge_1"), F.round(metrics.rouge_n_precision(r, h, 4), 6).alias("rouge_4"))
 
 
+def _scores_sql(method: str, attack: str) -> str:
+    precision = ", ".join(f"coalesce(o{n}.o / (len(h) - {n - 1}), 0) AS p{n}" for n in (1, 2, 3, 4))
+    joins = " ".join(f"LEFT JOIN o{n} USING (item_id)" for n in (1, 2, 3, 4))
+    norm = lambda c: rf"regexp_replace(trim(lower({c})), '\.\z', '')"
+    plain = lambda c: rf"regexp_replace(lower({c}), '[^\x01-\x7f]', '', 'g')"
+    return f"""SELECT * FROM (WITH a AS ({attack}), {_PAIR_TOKENS}, {", ".join(map(_overlap_sql, (1, 2, 3, 4)))},
+s AS (SELECT item_id, r, h, {precision} FROM p {joins})
+SELECT '{method}' AS method, round(avg(CASE WHEN least(p1, p2, p3, p4) <= 0 THEN 0 ELSE exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) * CASE WHEN len(h) >= len(r) THEN 1 ELSE exp(1 - len(r)::DOUBLE / len(h)) END END), 6) AS bleu,
+round(avg(p1), 6) AS rouge1, round(avg(p4), 6) AS rouge4, round(avg(levenshtein({plain('text')}, {plain('attacked')})), 6) AS distance, round(avg(CASE WHEN {norm('text')} = {norm('attacked')} THEN 1.0 ELSE 0.0 END), 6) AS perfect_share,
+count(*) FILTER ({norm('text')} = {norm('attacked')}) AS n_perfect, count(*) AS n FROM s JOIN a USING (item_id) JOIN benchmark USING (item_id))"""
+
+
+_SCORED = {"disemvowel": "disemvowel", "truncate": "truncate", "full-swap": "full_swap", "inner-swap": "inner_swap", "intrude": "intrude", "keyboard-typo": "keyboard", "natural-typo": "natural", "segmentation": "segmentation", "phonetic": "phonetic", "visual": "visual"}
+
+
+@query(" UNION ALL ".join(_scores_sql(m, ORACLE_SQL[f"attack_{f}"]) for m, f in _SCORED.items()))
+def scores_of_attacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean scores of the benchmark after each of the ten methods; the distance is that of the ASCII characters."""
+    every = None
+    for m in _SCORED:
+        own = table(spark, sf_dir, "benchmark").join(_attacked_words(spark, sf_dir, m), "item_id").withColumn("method", F.lit(m))
+        every = own if every is None else every.unionByName(own)
+    names = ("bleu", "rouge1", "rouge4", "distance")
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\x01-\x7f]", "")
+    pairs = evaluation.scored(every).withColumn("distance", metrics.edit_distance(plain("text"), plain("attacked")))
+    s = evaluation.document_scores(pairs, ["method"], names)
+    return s.select("method", *[F.round(n, 6).alias(n) for n in (*names, "perfect_share")], "n_perfect", "n")
+
+
 @query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
@@ -265,10 +320,7 @@ FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 100
 def knn_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of each query (ids divisible by 100) among all vectors; queries meet the vectors in blocks."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"))
-    near = e.join(q, F.col("q") != F.col("vec_id")).select("q", "vec_id", metrics.euclid(F.col("x"), F.col("embedding")).alias("d"))
-    top = near.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy("d", "vec_id"))).filter("k <= 20")
-    return top.select(F.col("q").alias("vec_id"), F.col("vec_id").alias("neighbour"), F.round("d", 4).alias("distance"))
+    return vectors.nearest(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", 20).withColumn("distance", F.round("distance", 4))
 
 
 # ---- statistics ----
@@ -309,8 +361,8 @@ def accuracy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BENCH_WORDS}, u AS (SELECT DISTINCT word FROM w), c AS (SELECT word, unnest(string_split(word, '')) AS letter FROM u) SELECT letter, count(*) AS n, count(DISTINCT word) AS n_words FROM c GROUP BY letter")
 def char_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = bench_words(spark, sf_dir).select("word").distinct().select("word", F.explode(F.filter(F.split("word", ""), lambda x: x != "")).alias("letter"))
-    return c.groupBy("letter").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("word").alias("n_words"))
+    c = bench_words(spark, sf_dir).select("word").distinct().select(F.posexplode(metrics.letter_counts(F.col("word"))).alias("i", "n")).filter("n > 0")
+    return c.groupBy(F.substr(F.lit(LETTERS), F.col("i") + 1, F.lit(1)).alias("letter")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_words"))
 
 
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,14 +408,7 @@ def lattice_best_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 cheapest chains of up to 4 edges in each of 97 lattices made from all documents, by joins and windows: each step keeps the best 10 for each place."""
     d = table(spark, sf_dir, "documents")
     e = d.select((F.col("doc_id") % 97).alias("g"), (F.col("doc_id") % 7).cast("int").alias("a"), (F.col("doc_id") % 7 + 1 + F.col("n_chars") % 4).cast("int").alias("b"), ((F.col("n_chars") % 13).cast("double") / 8).alias("d")).groupBy("g", "a", "b").agg(F.min("d").alias("d"))
-    step = e.select("g").distinct().select("g", F.lit(0).alias("to"), F.lit(0.0).alias("cost"))
-    every = step
-    for _ in range(4):
-        grown = step.join(e, (step["g"] == e["g"]) & (step["to"] == e["a"])).select(step["g"], F.col("b").alias("to"), (F.col("cost") + F.col("d")).alias("cost"))
-        step = grown.withColumn("_n", F.row_number().over(Window.partitionBy("g", "to").orderBy("cost"))).filter("_n <= 10").drop("_n")
-        every = every.unionByName(step)
-    ranked = every.select("g", (F.col("cost") + 10 - F.col("to")).alias("cost")).withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("cost")).cast("long"))
-    return ranked.filter("k <= 10").select("g", "k", "cost")
+    return prior.lattice_paths(e, "g")
 
 
 _SCORES = "s AS (SELECT user_id AS g, event_id, CAST(event_id % 1000 AS DOUBLE) / 100 AS x FROM events)"
@@ -373,10 +418,7 @@ _SCORES = "s AS (SELECT user_id AS g, event_id, CAST(event_id % 1000 AS DOUBLE)
 SELECT g, event_id, round(p, 6) AS p FROM t WHERE p >= 0.07 * most AND k <= 10""")
 def hypothesis_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "events").select(F.col("user_id").alias("g"), "event_id", ((F.col("event_id") % 1000).cast("double") / 100).alias("x"))
-    m = s.withColumn("p", stats.softmax(-F.col("x"), 1.0, ["g"]))
-    w = Window.partitionBy("g")
-    t = m.withColumns({"most": F.max("p").over(w), "k": F.row_number().over(w.orderBy(F.desc("p"), "event_id"))})
-    return t.filter("p >= 0.07 * most and k <= 10").select("g", "event_id", F.round("p", 6).alias("p"))
+    return prior.likely(s, ["g"], "event_id", "x").withColumn("p", F.round("p", 6))
 
 
 @query(f"""WITH {_SCORES}, m AS (SELECT *, exp(-x) / sum(exp(-x)) OVER (PARTITION BY g, event_id % 3) AS p, event_id % 3 AS slot FROM s), k AS (SELECT g, slot, p, row_number() OVER (PARTITION BY g, slot ORDER BY p DESC) AS k FROM m),
@@ -385,9 +427,7 @@ def slot_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The slot of the least gap between its two best candidates; slots are thirds of a user's events."""
     s = table(spark, sf_dir, "events").select(F.col("user_id").alias("g"), (F.col("event_id") % 3).alias("slot"), ((F.col("event_id") % 1000).cast("double") / 100).alias("x"))
     m = s.withColumn("p", stats.softmax(-F.col("x"), 1.0, ["g", "slot"]))
-    top = m.withColumn("k", F.row_number().over(Window.partitionBy("g", "slot").orderBy(F.desc("p")))).filter("k <= 2")
-    t = top.groupBy("g", "slot").agg((F.max(F.when(F.col("k") == 1, F.col("p"))) - F.max(F.when(F.col("k") == 2, F.col("p")))).alias("gap")).filter("gap is not null")
-    return t.groupBy("g").agg(F.min_by("slot", F.struct("gap", "slot")).alias("slot"), F.round(F.min("gap"), 6).alias("gap"))
+    return posterior.least_gap_slots(m, ["g"], "slot", "p").withColumn("gap", F.round("gap", 6))
 
 
 @query(f"""WITH {_WORDS}, f AS (SELECT conv_id, turn, list_concat(['<s>'], flatten(list(ts ORDER BY i)), ['</s>']) AS t FROM toks GROUP BY conv_id, turn), p AS (SELECT unnest(list_zip(t[1:len(t) - 1], t[2:len(t)])) AS z FROM f)
@@ -442,7 +482,7 @@ def replicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return study.replicated(table(spark, sf_dir, "benchmark").select("item_id"), 3)
 
 
-@query()
+@query("SELECT item_id, item_id * 3 + copy AS row_key, (row_number() OVER (ORDER BY item_id, copy) - 1) % 7 AS list FROM benchmark, (SELECT unnest([1, 2, 3]) AS copy)")
 def balanced_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three copies of each benchmark item on seven lists, none twice on one."""
     rows = study.replicated(table(spark, sf_dir, "benchmark").select("item_id"), 3)
@@ -480,7 +520,4 @@ def spell_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct token of the attacked benchmark with its nearest known word: least distance up to 2, then frequency."""
     t = _attacked_words(spark, sf_dir, "truncate").select(F.explode(F.regexp_extract_all(F.lower("attacked"), F.lit("[a-z]+"), F.lit(0))).alias("token")).distinct()
     u = bench_words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
-    # words of near length only: an equi-join on length, each token at five lengths
-    near = t.withColumn("len", F.explode(F.sequence(F.length("token") - 2, F.length("token") + 2))).join(u.withColumn("len", F.length("word")), "len")
-    d = near.withColumn("d", F.levenshtein("token", "word", 2)).filter("d >= 0")
-    return d.groupBy("token").agg(F.min_by("word", F.struct("d", -F.col("freq"), "word")).alias("correction"), F.min("d").cast("long").alias("distance"))
+    return spelling.corrections(t, u)

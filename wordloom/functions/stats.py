@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,10 +44,35 @@ def t_test(df: DataFrame, value: str, flag: str, by: list[str], pooled: bool = T
 
 
 def softmax(x: Column, theta: float, by: list[str]) -> Column:
-    """Share of exp(theta * x) in its group; equal shares where all of them vanish."""
+    """Share of exp(theta * x) in its group; the group's largest is subtracted first, so that no value overflows."""
     w = Window.partitionBy(*by)
-    total = F.sum(F.exp(x * theta)).over(w)
-    return F.when(total == 0, 1.0 / F.count(F.lit(1)).over(w)).otherwise(F.exp(x * theta) / total)
+    e = F.exp(x * theta - F.max(x * theta).over(w))
+    return e / F.sum(e).over(w)
+
+
+def mean_of_numbers(c: str) -> Column:
+    """Mean without NaN."""
+    return F.avg(F.when(~F.isnan(c), F.col(c)))
+
+
+def weighted_mean(m: str, n: str) -> Column:
+    """Mean of means m of n values each; null without values."""
+    return F.try_divide(F.sum(F.col(m) * F.col(n)), F.sum(n))
+
+
+def supported(value: Column, least: int = 10) -> Column:
+    """An aggregate, null for groups of fewer than least rows."""
+    return F.when(F.count(F.lit(1)) >= least, value)
+
+
+def with_p_value(tests: DataFrame) -> DataFrame:
+    """tests (t, dof) with p, two-sided; null where one of them is."""
+
+    @F.pandas_udf("double")
+    def p(t: pd.Series, dof: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(a) or pd.isna(b) else t_p_value(float(a), float(b)) for a, b in zip(t, dof, strict=True)], dtype=float)
+
+    return tests.withColumn("p", p("t", "dof"))
 
 
 def t_p_value(t: float, dof: float) -> float:

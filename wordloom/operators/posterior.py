@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.chars import let
 from .prior import Config, Slot, readings, softmax
@@ -109,6 +110,14 @@ def _least(gaps: Sequence[float | None], masked: Sequence[int]) -> int | None:
     return place
 
 
+def least_gap_slots(slots: DataFrame, by: list[str], slot: str, p: str) -> DataFrame:
+    """by, slot, gap: the most uncertain slot of each group, for tables of slots (by, slot, p), by the rule of :func:`most_uncertain` before any masking."""
+    top = slots.withColumn("_k", F.row_number().over(Window.partitionBy(*by, slot).orderBy(F.desc(p)))).filter("_k <= 2")
+    two = top.groupBy(*by, slot).agg(F.max(F.when(F.col("_k") == 1, F.col(p))).alias("_a"), F.max(F.when(F.col("_k") == 2, F.col(p))).alias("_b")).filter("_b is not null")
+    t = two.withColumn("gap", F.when((F.col("_a") - F.col("_b") == 1) | (F.col("_a") == 0), F.lit(100.0)).otherwise(F.col("_a") - F.col("_b")))
+    return t.groupBy(*by).agg(F.min_by(slot, F.struct("gap", slot)).alias(slot), F.min("gap").alias("gap"))
+
+
 def slot_posterior(slots: Sequence[Slot], provider: Provider, theta: float = 0.25, rounds: int | None = None, top_n: int = 4) -> list[Slot]:
     """Slots after rounds (one for each slot if none are given) of masking the most uncertain one; prior times likelihood, normalised.
 

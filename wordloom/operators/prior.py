@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
+from ..functions import stats
 from ..functions.chars import ALL_CHARS, LETTERS, NUMBERS, SMALL_LETTERS, VOWELS, glyph_similarity
 
 #: Words of a dictionary that may be broadcast.
@@ -296,6 +298,34 @@ def sentence_hypotheses(tokens: DataFrame, solved: DataFrame, key: list[str], co
     return joined.mapInArrow(run, schema)
 
 
+def likely(costs: DataFrame, by: list[str], key: str, cost: str, theta: float = 1.0, least: float = 0.07, k: int = 10) -> DataFrame:
+    """by, key, p: of each group the k hypotheses of largest probability (softmax of -cost), if it is at least a share of the largest; ties by key."""
+    w = Window.partitionBy(*by)
+    t = costs.withColumn("p", stats.softmax(-F.col(cost), theta, by)).withColumns({"_most": F.max("p").over(w), "_k": F.row_number().over(w.orderBy(F.desc("p"), key))})
+    return t.filter((F.col("p") >= least * F.col("_most")) & (F.col("_k") <= k)).select(*by, key, "p")
+
+
+def lattice_paths(edges: DataFrame, by: str, k: int = 10, pieces: int = 4, length: int = 10) -> DataFrame:
+    """by, k, cost: the k cheapest chains of up to pieces edges (a, b, d) from 0 in each lattice; what is left up to length costs 1 a character.
+
+    By joins and windows: each step keeps the best k for each place, for tables of lattices; :func:`k_best_paths` solves one.
+    """
+    step = edges.select(by).distinct().select(by, F.lit(0).alias("to"), F.lit(0.0).alias("cost"))
+    every = step
+    for _ in range(pieces):
+        grown = step.join(edges, (step[by] == edges[by]) & (step["to"] == edges["a"])).select(step[by], F.col("b").alias("to"), (F.col("cost") + F.col("d")).alias("cost"))
+        step = grown.withColumn("_n", F.row_number().over(Window.partitionBy(by, "to").orderBy("cost"))).filter(F.col("_n") <= k).drop("_n")
+        every = every.unionByName(step)
+    ranked = every.select(by, (F.col("cost") + length - F.col("to")).alias("cost")).withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("cost")).cast("long"))
+    return ranked.filter(F.col("k") <= k).select(by, "k", "cost")
+
+
+def truth_ranks(candidates: DataFrame, source: str, truth: str, target: str, score: str) -> DataFrame:
+    """source, rank (from 0): how many candidates score below the true word."""
+    own = candidates.filter(F.col(truth) == F.col(target)).select(source, F.col(score).alias("_own"))
+    return candidates.join(own, source).groupBy(source).agg(F.count_if(F.col(score) < F.col("_own")).alias("rank"))
+
+
 def plain_prior(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """The ablation baseline: tokens with known (in the dictionary) and p of each candidate: 1, or 1 over the dictionary's size."""
     size = words.agg(F.count(F.lit(1)).alias("n_words"))

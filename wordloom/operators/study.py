@@ -44,6 +44,12 @@ def balanced_assignment(df: DataFrame, truth: str, key: str, lists: int) -> Data
     return df.select(key, truth).groupBy(F.lit(0).alias("all")).applyInPandas(assign, f"{key} {types[key]}, {truth} {types[truth]}, list long")
 
 
+def round_robin(df: DataFrame, truth: str, key: str, lists: int) -> DataFrame:
+    """df with list: the rows of a truth go to lists in turn, from a keyed start; near equal lists, none with a truth twice while it has no more rows than there are lists. No task holds more than one truth."""
+    turn = F.row_number().over(Window.partitionBy(truth).orderBy(key)) - 1
+    return df.select(key, truth).withColumn("list", F.pmod(F.floor(uniform("list", F.col(truth)) * lists) + turn, F.lit(lists)).cast("long"))
+
+
 def submitted(trials: DataFrame, who: str, status: str, done: str, barred: list) -> DataFrame:
     """The rows of participants who have a row with the done status and aren't barred."""
     finished = trials.filter(F.col(status) == done).select(who).distinct()

@@ -38,6 +38,12 @@ def phonetic_tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?s)[a-zA-Z']+|."), F.lit(0)), ascii_lower)
 
 
+def capitals(text: Column) -> Column:
+    """Places (from 0) of the phonetic tokens that start with a capital."""
+    p = F.regexp_extract_all(text, F.lit(r"(?s)[a-zA-Z']+|."), F.lit(0))
+    return F.filter(F.transform(p, lambda x, i: F.when(x.rlike(r"\A[A-Z]"), i)), lambda i: i.isNotNull())
+
+
 def word_tokens(text: Column) -> Column:
     """Words (with inner hyphens, apostrophes and dots) and other visible characters one by one: a plain form of Treebank tokens."""
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+(?:['.\-][\p{L}\p{N}]+)*|[^\s]"), F.lit(0))
@@ -59,10 +65,41 @@ def exploded(df: DataFrame, key: list[str], tokens: Column) -> DataFrame:
     return df.select(*key, F.posexplode(tokens).alias("pos", "token"))
 
 
+def ranked(df: DataFrame, lead: str, word: str, falling: bool = False, prefix: int = 3) -> DataFrame:
+    """df with rank from 0, by lead and then word.
+
+    Rows are ordered in groups of one lead and the first characters of the word; only the table of these groups, with their numbers
+    of rows, is ordered as a whole.
+    """
+    order = F.desc(lead) if falling else F.col(lead)
+    rows = df.withColumn("_head", F.substring(word, 1, prefix))
+    groups = rows.groupBy(lead, "_head").agg(F.count(F.lit(1)).alias("_n"))
+    before = groups.select(lead, "_head", (F.sum("_n").over(Window.orderBy(order, "_head").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_before"))
+    at = F.row_number().over(Window.partitionBy(lead, "_head").orderBy(word)) - 1
+    return rows.join(before, [lead, "_head"]).withColumn("rank", (F.col("_before") + at).cast("long")).select(*df.columns, "rank")
+
+
 def frequency_rank(tokens: DataFrame, word: str = "token") -> DataFrame:
-    """word, freq, rank from 0 by falling frequency, then word. Only the counted vocabulary is ordered."""
+    """word, freq, rank from 0 by falling frequency, then word."""
     counted = tokens.groupBy(F.col(word).alias("word")).agg(F.count(F.lit(1)).alias("freq"))
-    return counted.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("freq"), "word")) - 1).cast("long"))
+    return ranked(counted, "freq", "word", falling=True).select("word", "freq", "rank")
+
+
+def known_or_frequent(ranks: DataFrame, known: DataFrame, most: int = 1000) -> DataFrame:
+    """word, freq, rank anew: of the ranked words those that are known (word) or rank below most."""
+    flagged = ranks.join(known.select("word").distinct().withColumn("_known", F.lit(True)), "word", "left")
+    kept = flagged.filter(F.col("_known").isNotNull() | (F.col("rank") < most)).select("word", "freq")
+    return ranked(kept, "freq", "word", falling=True)
+
+
+def full_dictionary(lists: list[DataFrame]) -> DataFrame:
+    """word, len, list, place, idx: the words of the lists (word, place) by length, then list, then place in it."""
+    every = None
+    for i, words in enumerate(lists):
+        own = words.select("word", F.lit(i).alias("list"), F.col("place").cast("long").alias("place"), F.length("word").cast("long").alias("len"))
+        every = own if every is None else every.unionByName(own)
+    every = every.withColumn("_order", F.concat_ws("|", F.lpad(F.col("list").cast("string"), 4, "0"), F.lpad(F.col("place").cast("string"), 12, "0")))
+    return ranked(every, "len", "_order", prefix=11).select("word", "len", "list", "place", F.col("rank").alias("idx"))
 
 
 def token_class(word: Column) -> Column:
@@ -79,7 +116,7 @@ def token_class(word: Column) -> Column:
 def dictionary(words: DataFrame, word: str = "word") -> DataFrame:
     """word, kind, len, idx: distinct words, by length then word; idx is the identity and the tie-break."""
     d = words.select(F.col(word).alias("word")).filter("word != ''").distinct().withColumns({"kind": token_class(F.col("word")), "len": F.length("word").cast("long")})
-    return d.withColumn("idx", (F.row_number().over(Window.orderBy("len", "word")) - 1).cast("long"))
+    return ranked(d, "len", "word").withColumnRenamed("rank", "idx")
 
 
 def islands(lines: DataFrame, key: list[str], order: str, text: str) -> DataFrame:
