@@ -388,7 +388,7 @@ def stupid_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _solved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, prior.Words]:
     words = restore.words_of(table(spark, sf_dir, "benchmark"))
     toks = tokens.exploded(_attacked_words(spark, sf_dir, "disemvowel"), ["item_id"], tokens.sentence_tokens(F.col("attacked")))
-    return toks, prior.solve_tokens(toks, words), words
+    return toks, prior.solve_tokens(toks, words, slots=False), words
 
 
 @query()

@@ -62,13 +62,19 @@ class Words:
         self.words, self.ranks, self.morphemes = list(words), ranks, list(morphemes)
         self.buckets = self._bucketed(self.words)
         self.piece_buckets = self._bucketed(self.morphemes)
+        self.first, self.last = np.array([w[:1] for w in self.words], str), np.array([w[-1:] for w in self.words], str)
         self.letters = np.array([[w.count(c) for c in LETTERS] for w in self.words], np.int16).reshape(-1, len(LETTERS))
 
     @staticmethod
-    def _bucketed(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(places, characters) for each length, rising."""
+    def _bucketed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, lengths and characters (padded) of the words, by rising length."""
         lengths = np.array([len(w) for w in words], int)
-        return [(at := np.flatnonzero(lengths == n), np.array([[ord(c) for c in words[i]] for i in at], np.int32)) for n in np.unique(lengths[lengths > 0])]
+        at = np.argsort(lengths, kind="stable")
+        at = at[lengths[at] > 0]
+        out = np.zeros((len(at), int(lengths.max(initial=0))), np.int32)
+        for r, i in enumerate(at):
+            out[r, : lengths[i]] = [ord(c) for c in words[i]]
+        return at, lengths[at], out
 
 
 class Costs:
@@ -91,59 +97,87 @@ class Costs:
         return max(0.0, min(1.0, (0.8 - glyph_similarity(source, target)) * 3))
 
 
-def distances(costs: Costs, targets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-    """Least cost of each target (rows of equal length) inside the source, and all its (start, end) spans."""
-    source = costs.source
-    n, (k, m) = len(source), targets.shape
+def _solve(costs: Costs, targets: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least cost of each target (padded rows by rising length) inside the source, whether it ends at each place, and the starts of each end as bits.
+
+    All lengths advance together; at each character only the targets that still have one take part.
+    """
+    source, one = costs.source, np.uint64(1)
+    n, k = len(source), len(targets)
     src = np.array([ord(c) for c in source], np.int32)
-    known = {int(c): i for i, c in enumerate(np.unique(targets))}
-    code = np.vectorize(known.get, otypes=[int])(targets) if k else targets
+    known = np.unique(targets)
+    code = np.searchsorted(known, targets)
     names = [chr(c) for c in known]
-    insert = np.array([costs.insert(c) for c in names])[code]
-    sub = np.array([[costs.substitute(t, s) for s in source] for t in names]).reshape(len(names), n)
-    one = np.uint64(1)
-    cost = [np.zeros((k, n + 1))]
-    start = [np.broadcast_to(one << np.arange(n + 1, dtype=np.uint64), (k, n + 1))]
+    insert = np.array([costs.insert(c) for c in names])[code] if k else np.zeros(targets.shape)
+    sub = np.array([[0.0 if t == s else costs.substitute(t, s) for s in source] for t in names]).reshape(len(names), n)
     delete = [costs.delete(c) for c in source]
-    for i in range(1, m + 1):
-        c, s = np.empty((k, n + 1)), np.empty((k, n + 1), np.uint64)
-        c[:, 0], s[:, 0] = cost[-1][:, 0] + insert[:, i - 1], one
+    best, ends, starts = np.empty(k), np.empty((k, n + 1), bool), np.empty((k, n + 1), np.uint64)
+    last_cost = np.zeros((n + 1, k))
+    last_start = np.repeat((one << np.arange(n + 1, dtype=np.uint64))[:, None], k, axis=1)
+    older: tuple[np.ndarray, np.ndarray] | None = None
+    done = 0
+    for i in range(1, int(lengths.max(initial=0)) + 1):
+        skip = int(np.searchsorted(lengths, i)) - done
+        if skip:
+            done += skip
+            last_cost, last_start = last_cost[:, skip:], last_start[:, skip:]
+            older = (older[0][:, skip:], older[1][:, skip:]) if older else None
+        ins, letter, now = insert[done:, i - 1], code[done:, i - 1], targets[done:, i - 1]
+        c, s = np.empty((n + 1, k - done)), np.empty((n + 1, k - done), np.uint64)
+        c[0], s[0] = last_cost[0] + ins, one
         for j in range(1, n + 1):
-            equal = targets[:, i - 1] == src[j - 1]
-            ways = [(cost[-1][:, j] + insert[:, i - 1], start[-1][:, j]), (cost[-1][:, j - 1] + np.where(equal, 0.0, sub[code[:, i - 1], j - 1]), start[-1][:, j - 1]), (c[:, j - 1] + delete[j - 1], s[:, j - 1])]
+            ways = [(last_cost[j] + ins, last_start[j]), (last_cost[j - 1] + sub[letter, j - 1], last_start[j - 1]), (c[j - 1] + delete[j - 1], s[j - 1])]
             if i > 2 and j > 2:
-                crossed = (targets[:, i - 1] == src[j - 2]) & (targets[:, i - 2] == src[j - 1])
-                ways.append((np.where(crossed, cost[-2][:, j - 2] + 1, np.inf), start[-2][:, j - 2]))
-            least = ways[0][0]
-            for w, _ in ways[1:]:
-                least = np.minimum(least, w)
-            bits = np.zeros(k, np.uint64)
+                crossed = (now == src[j - 2]) & (targets[done:, i - 2] == src[j - 1])
+                if crossed.any():
+                    ways.append((np.where(crossed, older[0][j - 2] + 1, np.inf), older[1][j - 2]))
+            least = np.minimum(np.minimum(ways[0][0], ways[1][0]), ways[2][0])
+            if len(ways) > 3:
+                least = np.minimum(least, ways[3][0])
+            bits = np.zeros(k - done, np.uint64)
             for w, b in ways:
-                bits |= np.where(w == least, b, np.uint64(0))
-            c[:, j], s[:, j] = least, bits
-        cost.append(c)
-        start.append(s)
-    best = cost[-1].min(axis=1)
-    ends = cost[-1] == best[:, None]
-    spans: list[list[tuple[int, int]]] = []
-    for r in range(k):
-        own = []
-        for e in np.flatnonzero(ends[r]):
-            b = int(start[-1][r, e])
-            while b:
-                low = b & -b
-                own.append((low.bit_length() - 1, int(e)))
-                b ^= low
-        spans.append(own)
-    return best, spans
+                bits |= b * (w == least)
+            c[j], s[j] = least, bits
+        to = int(np.searchsorted(lengths, i, "right"))
+        own = slice(0, to - done)
+        if to > done:
+            best[done:to] = c[:, own].min(axis=0)
+            ends[done:to] = (c[:, own] == best[done:to]).T
+            starts[done:to] = s[:, own].T
+        older, last_cost, last_start = (last_cost, last_start), c, s
+    return best, ends, starts
+
+
+def _spans(ends: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
+    """All (start, end) of one target."""
+    own = []
+    for e in np.flatnonzero(ends).tolist():
+        b = int(starts[e])
+        while b:
+            low = b & -b
+            own.append((low.bit_length() - 1, e))
+            b ^= low
+    return own
+
+
+def _longest(ends: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Length of the longest span of each target: its first start is the lowest bit."""
+    low = starts & (~starts + np.uint64(1))
+    first = np.log2(np.maximum(low, np.uint64(1)).astype(float)).astype(int)
+    return np.where(ends & (starts > 0), np.arange(ends.shape[1]) - first, 0).max(axis=1, initial=0)
+
+
+def distances(costs: Costs, targets: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """Least cost of each target (rows of equal length) inside the source, and all its (start, end) spans."""
+    best, ends, starts = _solve(costs, targets, np.full(len(targets), targets.shape[1]))
+    return best, [_spans(e, s) for e, s in zip(ends, starts, strict=True)]
 
 
 def anagram_scores(source: str, words: Words) -> np.ndarray:
     own = np.array([source.count(c) for c in LETTERS])
     unknown = sum(c not in LETTERS for c in source)
     score = 1.0 + 2 * unknown + 2 * np.abs(words.letters - own).sum(axis=1)
-    first = np.array([w[:1] == source[0] for w in words.words])
-    last = np.array([w[-1:] == source[-1] for w in words.words])
+    first, last = words.first == source[0], words.last == source[-1]
     return score * np.where(first, 0.7, 1.0) * np.where(last, 0.8, 1.0)
 
 
@@ -151,7 +185,7 @@ Slot = list[tuple[str, float]]
 Hypothesis = tuple[list[int], float, list[Slot]]
 
 
-def word_hypotheses(source: str, words: Words, config: Config) -> list[Hypothesis]:
+def word_hypotheses(source: str, words: Words, config: Config, with_slots: bool = True) -> list[Hypothesis]:
     """(cuts, cost, slots) of the best ways to read the source, at most num_hyps; a slot holds all its (word, probability), best first.
 
     Only words that the search never reached (distance FAR) are left out of a whole token's slot, if its best is below FAR / 2: their mass
@@ -180,26 +214,42 @@ def word_hypotheses(source: str, words: Words, config: Config) -> list[Hypothesi
                 moved = sum(map(costs.delete, source[to:b])) if to < b else sum(map(costs.insert, source[b:to]))
                 edges.setdefault((a, to), []).append((cost + moved, f"##{word}" if morpheme else word))
 
-    for at, targets in words.buckets:
-        over = targets.shape[1] - n
+    at, lengths, targets = words.buckets
+    low = 0
+    while low < len(at):
+        over = int(lengths[low]) - n
         if not costs.no_vowels and over > least + 1:
             break
-        cost, spans = distances(costs, targets)
-        fill = np.array([n - max(b - a for a, b in s) for s in spans])
+        # the lengths up to a little above the source's at once, then some more at a time; without an early stop all
+        high = len(at) if costs.no_vowels else int(np.searchsorted(lengths, max(n + 1, int(lengths[low]) + 2), "right"))
+        cost, ends, starts = _solve(costs, targets[low:high, : int(lengths[high - 1])], lengths[low:high])
+        longest = _longest(ends, starts)
+        fill = n - longest
         full = cost + fill
         if ana is not None:
-            full = np.minimum(full, ana[at])
-        running = np.minimum.accumulate(np.concatenate(([least], full)))
-        reach = len(at) if costs.no_vowels else int(np.argmax(np.append(over > running[:-1] + 1, True)))
-        whole[at[:reach]] = full[:reach]
-        least = float(running[reach])
-        for r in range(reach):
-            if fill[r] > 0:
-                enter(spans[r], float(cost[r]), words.words[at[r]], False)
-    for at, targets in words.piece_buckets:
-        cost, spans = distances(costs, targets)
-        for r in range(len(at)):
-            enter(spans[r], float(cost[r]), words.morphemes[at[r]], True)
+            full = np.minimum(full, ana[at[low:high]])
+        stop = False
+        for a in np.unique(lengths[low:high]):
+            x, y = np.searchsorted(lengths[low:high], a), np.searchsorted(lengths[low:high], a, "right")
+            over = int(a) - n
+            if not costs.no_vowels and over > least + 1:
+                stop = True
+                break
+            running = np.minimum.accumulate(np.concatenate(([least], full[x:y])))
+            reach = y - x if costs.no_vowels else int(np.argmax(np.append(over > running[:-1] + 1, True)))
+            whole[at[low + x : low + x + reach]] = full[x : x + reach]
+            least = float(running[reach])
+            for r in np.flatnonzero((fill[x : x + reach] > 0) & (cost[x : x + reach] + 0.5 < longest[x : x + reach])) + x:
+                enter(_spans(ends[r], starts[r]), float(cost[r]), words.words[at[low + r]], False)
+        if stop:
+            break
+        low = high
+    at, lengths, targets = words.piece_buckets
+    if len(at):
+        cost, ends, starts = _solve(costs, targets, lengths)
+        longest = _longest(ends, starts)
+        for r in np.flatnonzero(cost + 0.8 < longest):
+            enter(_spans(ends[r], starts[r]), float(cost[r]), words.morphemes[at[r]], True)
     best = float(whole.min())
     nearest: dict[int, list[tuple[int, float]]] = {}
     for (a, b), found in sorted(edges.items()):
@@ -211,7 +261,7 @@ def word_hypotheses(source: str, words: Words, config: Config) -> list[Hypothesi
     out = []
     for cuts, cost in ranked:
         slots = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
+        for a, b in zip(cuts, cuts[1:], strict=False) if with_slots else ():
             pairs = list(zip(whole, words.words, strict=True)) if (a, b) == (0, n) else edges[a, b]
             p = softmax([-d for d, _ in pairs], config.prob_softmax)
             top = np.argsort(-p, kind="stable")
@@ -248,8 +298,8 @@ SLOT = "struct<word:string,p:double>"
 WORD_HYPS = f"token string, hyps array<struct<cuts:array<int>,cost:double,slots:array<array<{SLOT}>>>>"
 
 
-def solve_tokens(tokens: DataFrame, words: Words, config: Config | None = None) -> DataFrame:
-    """token, hyps for the distinct tokens of a frame (token)."""
+def solve_tokens(tokens: DataFrame, words: Words, config: Config | None = None, slots: bool = True) -> DataFrame:
+    """token, hyps for the distinct tokens of a frame (token); without slots, which hold the whole dictionary, where only cuts and costs count."""
     config = config or Config()
     if len(words.words) > MOST_WORDS:
         raise ValueError(f"the dictionary has more than {MOST_WORDS} words")
@@ -259,7 +309,7 @@ def solve_tokens(tokens: DataFrame, words: Words, config: Config | None = None)
         for b in batches:
             out = []
             for t in b["token"]:
-                out.append([{"cuts": c, "cost": d, "slots": [[{"word": w, "p": p} for w, p in s] for s in slots]} for c, d, slots in word_hypotheses(t, held.value, config)])
+                out.append([{"cuts": c, "cost": d, "slots": [[{"word": w, "p": p} for w, p in s] for s in own]} for c, d, own in word_hypotheses(t, held.value, config, slots)])
             yield pd.DataFrame({"token": b["token"], "hyps": out})
 
     distinct = tokens.select("token").filter("token is not null").distinct()
