@@ -57,7 +57,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: Training, hashing of sets, a random field and a tokenizer aren't SQL; tests/llm holds brute-force versions.
+#: Training, hashing of sets, a random field and a tokenizer aren't SQL; tests/llm does all stages again on lists.
 ORACLE_SQL: str | None = None
 
 
