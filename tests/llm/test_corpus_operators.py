@@ -155,6 +155,31 @@ def test_mix_is_near_targets_and_repeats(spark):
     assert mixing.mixed(documents(spark, [])).count() == 0
 
 
+def test_mix_equals_brute_force(spark):
+    """Sizes, targets and bounds done again on lists; copies are the whole part of the share, or one more."""
+    rows = [*corpus(150), (400, "big " * 900, "s2"), (401, "tie a b", "s0"), (401, "tie a b", "s0"), (402, "x " * 5, "\u00e9")]
+    sizes = [(i, s, len(words_of(t))) for i, t, s in rows]
+    names = sorted({s for _, s, _ in sizes}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for _, x, n in sizes if x == s) for s in names}
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(names)}
+    capped: set = set()
+    while True:
+        left = sum(total.values()) - sum(3 * total[s] for s in capped)
+        target = {s: 3.0 * total[s] if s in capped else left * weight[s] / sum(weight[x] for x in names if x not in capped) for s in names}
+        over = {s for s in names if s not in capped and target[s] > 3 * total[s]}
+        if not over:
+            break
+        capped |= over
+    got = mixing.mixed_sizes(documents(spark, rows)).collect()
+    assert sorted((str(r.doc_id), str(r.source), r.size) for r in got) == sorted((str(i), str(s), n) for i, s, n in sizes)
+    for r in got:
+        share = target[r.source] / total[r.source] if total[r.source] and r.size else 0.0
+        assert r.source_size == total[r.source] and abs(r.target - target[r.source]) < 1e-6 and int(share + 1e-9) <= r.copies <= min(3, int(share + 1e-9) + 1)
+    for s in names:
+        taken = sum(r.size * r.copies for r in got if r.source == s)
+        assert abs(taken - target[s]) <= max(1, *(n for _, x, n in sizes if x == s and n))
+
+
 def test_pivotal_keeps_expectation():
     total = np.zeros(20)
     for seed in range(400):
@@ -177,6 +202,23 @@ def test_toxicity_held_out(spark):
     assert toxicity.keep(documents(spark, []), model).count() == 0
 
 
+def test_scores_equal_brute_force(spark):
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["river", "garden", "fool", "music"]) for _ in range(8)), 0) for i in range(60)]
+    rows = [(i, t, int("fool" in t)) for i, t, _ in rows] + [(7, "river", 0), (7, "river", 0)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:60]], "doc_id long, toxic int")
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").withColumns({"score": F.lit("clash"), "toxic": F.lit(9)})
+    some = toxicity.training_rows(df, labels)
+    assert some.count() == 60 and toxicity.training_rows(df, labels, sample=20).count() < 45
+    model = toxicity.train(some)
+    more = df.unionByName(spark.createDataFrame([(90, None), (91, ""), (92, "a fool " * 40000)], "doc_id long, text string").withColumns({"score": F.lit("x"), "toxic": F.lit(1)}))
+    for x in toxicity.score(more, model).join(more.select("doc_id", "text").distinct(), "doc_id").collect():
+        present = {model.lookup[g] for g in toxicity.grams(x.text or "").tolist() if x.text and model.lookup[g] >= 0}
+        z = sum(model.weights[f] for f in present) + model.intercept
+        assert abs(x.score - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9 and x.predicted == int(x.score >= 0.3)
+    assert toxicity.score(documents(spark, []), model).count() == 0
+
+
 def test_toxicity_with_one_class(spark):
     df = spark.createDataFrame([(1, "a", 0)], "doc_id long, text string, toxic int")
     assert toxicity.score(df, toxicity.train(df)).first().predicted == 0
@@ -456,6 +498,14 @@ def test_image_copies_are_linked(spark):
     assert got[300].component_id == 0 and got[301].component_id == 301 and got[303].component_id == 302
 
 
+def test_images_of_nothing_ties_and_clashes(spark):
+    none = spark.createDataFrame([], "id long, height int, width int, pixels binary")
+    assert media.image_copies(none).count() == 0
+    flat = [(i, 40, 40, bytes(1600)) for i in (3, 1, 1, 2)]
+    got = media.image_copies(spark.createDataFrame(flat, "id long, height int, width int, pixels binary").withColumns({"members": F.lit(1), "n": F.lit("x")})).collect()
+    assert len(got) == 4 and {r.component_id for r in got} == {1}
+
+
 def test_noisy_and_rescaled_copies_are_compared(spark):
     import pandas as pd
 
