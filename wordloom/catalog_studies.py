@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import _BENCH_WORDS, _LAB, _U, _WORDS, LEVEL, ORACLE_SQL, SEED, _attacked_words, bench_words, labelled, neighbours, query, table
+from .catalog import _BENCH_WORDS, _LAB, _PAIR_TOKENS, _TOKENS, _U, _WORDS, LEVEL, ORACLE_SQL, SEED, _attacked_words, bench_tokens, bench_words, labelled, neighbours, query, table
 from .functions import metrics, stats, vectors
 from .operators import evaluation, legacy, lookalike, perturb, prior, spelling, study, tokens
+from .plans import restore
 from .sources import readers
 
 _NEIGHBOURS = f"{_BENCH_WORDS}, u0 AS (SELECT word, row_number() OVER (ORDER BY length(word), word) AS idx FROM (SELECT DISTINCT word FROM w)), p AS (SELECT a.word AS source, b.word AS target FROM u0 a JOIN u0 b ON b.idx = a.idx + 1)"
@@ -269,3 +270,36 @@ def mover_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fives of vectors stand for sentences, each against the next."""
     e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("g"), "embedding")
     return vectors.relaxed_mover(e.withColumn("g", F.col("g") - 1), e, ["g"], "embedding").withColumn("distance", F.round("distance", 6))
+
+
+# ---- prior, readings and scores against plain SQL ----
+
+@query("WITH a AS (" + ORACLE_SQL["attack_disemvowel"] + f"""), t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(attacked), '[a-z]+')) AS token FROM a), {_BENCH_WORDS}, u AS (SELECT DISTINCT word FROM w),
+i AS (SELECT token, unnest(range(1, length(token) + 1)) AS i FROM t), n AS (SELECT token, i, unnest(range(1, length(token) - i + 2)) AS n FROM i), s AS (SELECT DISTINCT token, substr(token, i, n) AS sub FROM n)
+SELECT token, word, CAST(min(levenshtein(word, sub)) AS DOUBLE) AS cost FROM s JOIN u ON abs(length(sub) - length(word)) <= 1 GROUP BY token, word HAVING min(levenshtein(word, sub)) <= 1""")
+def semi_global_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of the benchmark that some part of a disemvowelled token is at most one edit away from; all costs 1."""
+    words = restore.words_from(bench_words(spark, sf_dir).select("word"))
+    t = _attacked_words(spark, sf_dir, "disemvowel").select(F.explode(F.regexp_extract_all(F.lower("attacked"), F.lit("[a-z]+"), F.lit(0))).alias("token"))
+    plain = prior.Config(cheap_ins=False, cheap_sub=False, cheap_del=False, swaps=False)
+    return prior.within(t, words, 1.0, plain)
+
+
+@query(f"""WITH RECURSIVE {_TOKENS}, v AS (SELECT item_id, pos, unnest([(length(w) % 3) / 8.0, (length(w) % 5 + 1) / 8.0, (pos % 7 + 2) / 8.0])::DOUBLE AS c FROM tok),
+r(item_id, pos, cost) AS (SELECT DISTINCT item_id, CAST(-1 AS BIGINT), CAST(0 AS DOUBLE) FROM tok UNION ALL SELECT item_id, pos, cost FROM (SELECT r.item_id, v.pos, r.cost + v.c AS cost, row_number() OVER (PARTITION BY r.item_id ORDER BY r.cost + v.c) AS k FROM r JOIN v ON v.item_id = r.item_id AND v.pos = r.pos + 1) WHERE k <= 10)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY cost) - 1 AS k, cost FROM r WHERE pos = (SELECT max(pos) FROM tok WHERE tok.item_id = r.item_id)""")
+def kbest_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten cheapest readings of each benchmark text, whose words have three made costs each."""
+    size = F.length("token")
+    costs = F.array(size % 3 / 8, (size % 5 + 1) / 8, (F.col("pos") % 7 + 2) / 8)
+    rows = bench_tokens(spark, sf_dir).select("item_id", "pos", F.explode(costs).alias("cost"))
+    return prior.best_sums(rows, ["item_id"], "pos", "cost").drop("picks")
+
+
+@query("WITH RECURSIVE a AS (" + ORACLE_SQL["attack_truncate"] + f"), {_PAIR_TOKENS}," + """
+l(item_id, i, c) AS (SELECT item_id, 0, list_transform(range(0, len(r) + 1), lambda x: 0) FROM p UNION ALL
+  SELECT l.item_id, i + 1, list_transform(range(1, len(c) + 1), lambda k: list_max(list_transform(range(1, k + 1), lambda j: CASE WHEN j > 1 AND r[j - 1] = h[i + 1] THEN c[j - 1] + 1 ELSE c[j] END))) FROM l JOIN p ON p.item_id = l.item_id WHERE i < len(h))
+SELECT l.item_id, round(c[len(c)] / len(h)::DOUBLE, 6) AS rouge_l FROM l JOIN p ON p.item_id = l.item_id WHERE i = len(h)""")
+def rouge_l_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "benchmark").join(_attacked_words(spark, sf_dir, "truncate"), "item_id")
+    return pairs.select("item_id", F.round(metrics.rouge_l_precision(F.split("text", " "), F.split("attacked", " ")), 6).alias("rouge_l"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions import stats
@@ -47,6 +47,7 @@ class Config:
     cheap_sub: bool = True
     cheap_del: bool = True
     anagrams: bool = True
+    swaps: bool = True
     pieces: int = 4
 
 
@@ -127,7 +128,7 @@ def _solve(costs: Costs, targets: np.ndarray, lengths: np.ndarray) -> tuple[np.n
         c[0], s[0] = last_cost[0] + ins, one
         for j in range(1, n + 1):
             ways = [(last_cost[j] + ins, last_start[j]), (last_cost[j - 1] + sub[letter, j - 1], last_start[j - 1]), (c[j - 1] + delete[j - 1], s[j - 1])]
-            if i > 2 and j > 2:
+            if costs.config.swaps and i > 2 and j > 2:
                 crossed = (now == src[j - 2]) & (targets[done:, i - 2] == src[j - 1])
                 if crossed.any():
                     ways.append((np.where(crossed, older[0][j - 2] + 1, np.inf), older[1][j - 2]))
@@ -298,11 +299,15 @@ SLOT = "struct<word:string,p:double>"
 WORD_HYPS = f"token string, hyps array<struct<cuts:array<int>,cost:double,slots:array<array<{SLOT}>>>>"
 
 
+def _refuse_large(words: Words) -> None:
+    if len(words.words) > MOST_WORDS:
+        raise ValueError(f"the dictionary has more than {MOST_WORDS} words")
+
+
 def solve_tokens(tokens: DataFrame, words: Words, config: Config | None = None, slots: bool = True) -> DataFrame:
     """token, hyps for the distinct tokens of a frame (token); without slots, which hold the whole dictionary, where only cuts and costs count."""
     config = config or Config()
-    if len(words.words) > MOST_WORDS:
-        raise ValueError(f"the dictionary has more than {MOST_WORDS} words")
+    _refuse_large(words)
     held = tokens.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -316,6 +321,47 @@ def solve_tokens(tokens: DataFrame, words: Words, config: Config | None = None,
     return distinct.repartition(4 * distinct.sparkSession.sparkContext.defaultParallelism, "token").mapInPandas(run, WORD_HYPS)
 
 
+def within(tokens: DataFrame, words: Words, most: float, config: Config | None = None) -> DataFrame:
+    """token, word, cost: the words whose best match inside a distinct token costs most at the highest, before any anagram score.
+
+    Tokens above 63 characters and empty ones have no row.
+    """
+    config = config or Config()
+    _refuse_large(words)
+    held = tokens.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, lengths, targets = held.value.buckets
+        for b in batches:
+            for t in b["token"]:
+                best = _solve(Costs(t, config), targets, lengths)[0]
+                near = np.flatnonzero(best <= most)
+                yield pd.DataFrame({"token": t, "word": [held.value.words[i] for i in at[near]], "cost": best[near]})
+
+    distinct = tokens.select("token").filter(F.length("token").between(1, 63)).distinct()
+    return distinct.repartition(4 * distinct.sparkSession.sparkContext.defaultParallelism, "token").mapInPandas(run, "token string, word string, cost double")
+
+
+def best_sums(costs: DataFrame, by: list[str], place: str, cost: str, k: int = 10) -> DataFrame:
+    """by, k (from 0), cost, picks: the k cheapest ways to take one cost at each place of a group, with the costs that they take.
+
+    A group is a sentence, whose length bounds what meets in one row; ties go to the cheaper pick at the first place that differs.
+    """
+    at = costs.groupBy(*by, place).agg(F.sort_array(F.collect_list(cost)).alias("_costs"))
+    lists = at.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(place, "_costs"))).alias("_lists"))
+    schema = T.StructType([*[lists.schema[c] for c in by], T.StructField("k", T.LongType()), T.StructField("cost", T.DoubleType()), T.StructField("picks", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for own in b.to_pylist():
+                values = [x["_costs"] for x in own["_lists"]]
+                rows += [{**{c: own[c] for c in by}, "k": i, "cost": c_, "picks": [v[j] for v, j in zip(values, places, strict=True)]} for i, (c_, places) in enumerate(k_best_sums(values, k))]
+            yield pa.RecordBatch.from_pylist(rows, to_arrow_schema(schema))
+
+    return lists.mapInArrow(run, schema)
+
+
 _SLOTS = T.ArrayType(T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("p", T.DoubleType())])))
 HYPS = T.ArrayType(T.StructType([T.StructField("p", T.DoubleType()), T.StructField("cost", T.DoubleType()), T.StructField("slots", _SLOTS)]))
 

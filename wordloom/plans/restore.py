@@ -9,12 +9,11 @@ from ..operators import posterior, prior
 from ..operators.tokens import exploded, sentence_tokens
 
 
-def words_of(corpus: DataFrame, text: str = "text", least_piece: int = 2) -> prior.Words:
-    """The dictionary of a clean corpus: its ASCII words in order of length, frequency ranks; endings of frequent words as morphemes.
+def words_from(tokens: DataFrame, least_piece: int = 2) -> prior.Words:
+    """The dictionary of a frame (word), a row for each occurrence: words in order of length, frequency ranks; endings of frequent words as morphemes.
 
-    The distinct words of the corpus come to the driver, so a corpus with more than MOST_WORDS of them is refused.
+    The distinct words come to the driver, so a frame with more than MOST_WORDS of them is refused.
     """
-    tokens = corpus.select(F.explode(sentence_tokens(F.col(text))).alias("word")).filter(F.col("word").rlike("^[a-z0-9]+$|^[^a-z0-9A-Z]$"))
     counted = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("freq")).orderBy(F.desc("freq"), "word").limit(prior.MOST_WORDS + 1).collect()
     if len(counted) > prior.MOST_WORDS:
         raise ValueError("the corpus has too many distinct words; pass a dictionary")
@@ -28,6 +27,12 @@ def words_of(corpus: DataFrame, text: str = "text", least_piece: int = 2) -> pri
     return prior.Words(sorted(ranks, key=lambda w: (len(w), w)), ranks, pieces)
 
 
+def words_of(corpus: DataFrame, text: str = "text", least_piece: int = 2) -> prior.Words:
+    """The dictionary of a clean corpus, from its ASCII words and signs."""
+    tokens = corpus.select(F.explode(sentence_tokens(F.col(text))).alias("word")).filter(F.col("word").rlike("^[a-z0-9]+$|^[^a-z0-9A-Z]$"))
+    return words_from(tokens, least_piece)
+
+
 def restore(sentences: DataFrame, key: list[str], text: str, words: prior.Words, provider: posterior.Provider | None, config: prior.Config | None = None, **how) -> DataFrame:
     """key, posterior, sentence for each sentence that has a token."""
     tokens = exploded(sentences, key, sentence_tokens(F.col(text)))
