@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, forget, measured
 
 
+def _with_least(e: DataFrame) -> DataFrame:
+    """The edges (u, v) with m, the least of u and all its v.
+
+    A node may hold a large share of all edges, so its edges are dealt by v to as many tasks as a shuffle has, and
+    what these tasks found meets in one row each.
+    """
+    parts = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = e.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(parts)))
+    least = dealt.groupBy("u", "part").agg(F.min("v").alias("m"))
+    least = least.withColumn("m", F.least("u", F.min("m").over(Window.partitionBy("u"))))
+    return dealt.join(least, ["u", "part"]).drop("part")
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     """Every neighbour above a node is tied to the least of the node's neighbourhood."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+    return _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Every node and its lower neighbours are tied to the least of them; edges run from high u to low v."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    below = e.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return below.unionByName(least.select("u", F.col("m").alias("v")))
+    return _with_least(e).select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
 
 
 def _edges(e: DataFrame) -> DataFrame:
