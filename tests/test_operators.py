@@ -22,6 +22,15 @@ from wordloom.streaming import sentences
 LETTERS = "abcdefg"
 
 
+def _levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
 def column(spark, values, expr):
     """expr of each value, in order."""
     rows = spark.createDataFrame(list(enumerate(values)), "i int, s string").select("i", expr(F.col("s")).alias("r")).collect()
@@ -105,6 +114,21 @@ def test_respelling(spark):
     assert set(out) == {w for w, *_ in phonetic.ALIGNED} and out["the"] == "the" and out["sell"][1:] == "ell"
 
 
+def test_treebank_tokens_and_back(spark):
+    cases = {
+        "They'll save and invest more.": "They 'll save and invest more .",
+        'He said, "I can\'t do that" (twice).': "He said , `` I ca n't do that '' ( twice ) .",
+        "You cannot pay $3,000 at 10:30, can you?": "You can not pay $ 3,000 at 10:30 , can you ?",
+        "It's Mr. Smith's dog... I'm gonna go!": "It 's Mr. Smith 's dog ... I 'm gon na go !",
+        "one -- two": "one -- two", "": "",
+    }
+    got = column(spark, list(cases), tokens.treebank_tokens)
+    assert [" ".join(t) for t in got] == list(cases.values())
+    back = column(spark, list(cases), lambda c: tokens.treebank_text(tokens.treebank_tokens(c)))
+    assert back[1] == 'He said, "I can\'t do that" (twice).' and back[2] == "You cannot pay $3,000 at 10:30, can you?" and back[0] == "They'll save and invest more."
+    assert column(spark, [None], tokens.treebank_tokens) == [None]
+
+
 # ---- prior ----
 
 def scalar_distance(source, target, costs):
@@ -163,6 +187,32 @@ def test_k_best_sums_and_paths():
     assert np.allclose([c for _, c in prior.k_best_paths(edges, 5, 6, 4)], [c for c, _ in sorted(every)[:6]])
 
 
+def test_words_within_a_distance_of_part_of_a_token(spark):
+    def least(word, token):
+        return min(_levenshtein(word, token[i:j]) for i in range(len(token) + 1) for j in range(i, len(token) + 1))
+
+    words = ["a", "ab", "cab", "face", "deed", "gaffe", "abcdefg"]
+    odd = [None, "", "x" * 64, "face", "face", "xxdeedxx", "ba", "gfa", "\u00e9a"]
+    plain = prior.Config(cheap_ins=False, cheap_sub=False, cheap_del=False, swaps=False)
+    frame = spark.createDataFrame([(t, i) for i, t in enumerate(odd)], "token string, cost int")
+    got = {(r.token, r.word): r.cost for r in prior.within(frame, prior.Words(words, {}), 1.0, plain).collect()}
+    want = {(t, w): float(d) for t in set(odd) if t and len(t) < 64 for w in words if (d := least(w, t)) <= 1}
+    assert got == want
+    assert prior.within(frame, prior.Words([], {}), 1.0).count() == 0 and prior.within(frame.limit(0), prior.Words(words, {}), 1.0).count() == 0
+
+
+def test_best_sums_of_groups(spark):
+    r = random.Random(5)
+    costs = {g: [[r.randint(0, 6) / 4 for _ in range(r.randint(1, 4))] for _ in range(4)] for g in range(5)}
+    rows = [(g, i, c) for g, lists in costs.items() for i, own in enumerate(lists) for c in own]
+    got = prior.best_sums(spark.createDataFrame(rows, "g long, at int, c double"), ["g"], "at", "c", 6).orderBy("g", "k").collect()
+    for g, lists in costs.items():
+        own = [x for x in got if x.g == g]
+        assert [x.cost for x in own] == sorted(sum(p) for p in itertools.product(*lists))[:6]
+        assert all(sum(x.picks) == x.cost and len(x.picks) == 4 for x in own)
+    assert prior.best_sums(spark.createDataFrame([], "g long, at int, c double"), ["g"], "at", "c").count() == 0
+
+
 def test_softmax_is_uniform_where_all_vanish():
     assert prior.softmax([-1e9, -1e9]).tolist() == [0.5, 0.5] and abs(prior.softmax([1, 2, 3]).sum() - 1) < 1e-12
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import _BENCH_WORDS, _LAB, _PAIR_TOKENS, _TOKENS, _U, _WORDS, LEVEL, ORACLE_SQL, SEED, _attacked_words, bench_tokens, bench_words, labelled, neighbours, query, table
+from .catalog import _BENCH_WORDS, _LAB, _PAIR_TOKENS, _TOKENS, _U, _WORDS, LEVEL, ORACLE_SQL, SEED, _attacked_words, bench_tokens, bench_words, digest, labelled, neighbours, query, table
 from .functions import metrics, stats, vectors
 from .operators import evaluation, legacy, lookalike, perturb, prior, spelling, study, tokens
 from .plans import restore
@@ -34,6 +34,20 @@ def capital_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("["), F.array_join(p, ", "), F.lit("]")).alias("places"))
 
 
+def _rewritten_sql(text: str, rules: tuple[tuple[str, str], ...]) -> str:
+    for pattern, new in rules:
+        pattern, new = pattern.replace("'", "''"), new.replace("'", "''").replace("$", "\\")
+        text = f"regexp_replace({text}, '{pattern}', '{new}', 'g')"
+    return text
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, list_filter(string_split_regex({_rewritten_sql('text', tokens.TREEBANK)}, '[ \\t\\n\\f\\r]+'), lambda x: x <> '') AS ts FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, len(ts) AS n_tokens, md5(array_to_string(ts, '|')) AS tokens_md5, md5({_rewritten_sql("' ' || array_to_string(ts, ' ') || ' '", tokens.TREEBANK_BACK)}) AS text_md5 FROM t""")
+def treebank_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", tokens.treebank_tokens(F.col("text")).alias("ts"))
+    return t.select("conv_id", "turn", F.size("ts").cast("long").alias("n_tokens"), digest(F.array_join("ts", "|")).alias("tokens_md5"), digest(tokens.treebank_text(F.col("ts"))).alias("text_md5"))
+
+
 _RANKS = f"{_BENCH_WORDS}, f AS (SELECT word, count(*) AS freq, row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS rank FROM w GROUP BY word)"
 
 

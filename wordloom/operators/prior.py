@@ -336,7 +336,8 @@ def within(tokens: DataFrame, words: Words, most: float, config: Config | None =
             for t in b["token"]:
                 best = _solve(Costs(t, config), targets, lengths)[0]
                 near = np.flatnonzero(best <= most)
-                yield pd.DataFrame({"token": t, "word": [held.value.words[i] for i in at[near]], "cost": best[near]})
+                if len(near):
+                    yield pd.DataFrame({"token": [t] * len(near), "word": [held.value.words[i] for i in at[near]], "cost": best[near]})
 
     distinct = tokens.select("token").filter(F.length("token").between(1, 63)).distinct()
     return distinct.repartition(4 * distinct.sparkSession.sparkContext.defaultParallelism, "token").mapInPandas(run, "token string, word string, cost double")

@@ -12,6 +12,44 @@ _MARK = r"""[,";:']\z"""
 _END = r"(?s)\A(.*[^.])\.\z|\A(.+)[?!]\z"
 
 
+# The conventions of Penn Treebank tokens, as (pattern, replacement) in order; they hold in Java's and RE2's syntax.
+TREEBANK = (
+    (r'\A"', "`` "),
+    (r'([ (\[{<])"', "$1 `` "),
+    (r"(?s)\A(.*)\z", " $1 "),
+    (r"([:,])([^0-9])", " $1 $2"),
+    (r"\.\.\.", " ... "),
+    (r"([;@#$%&?!])", " $1 "),
+    (r"""([^.])(\.)([\])}>"']*[ \t\n\f\r]*)\z""", "$1 $2 $3"),
+    (r"([^'])' ", "$1 ' "),
+    (r"([\]\[(){}<>])", " $1 "),
+    (r"--", " -- "),
+    (r'"', " '' "),
+    (r"([^ '])('[sSmMdD]) ", "$1 $2 "),
+    (r"([^ '])('ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1 $2 "),
+    (r"(?i)\b(can)(not)\b", "$1 $2"),
+    (r"(?i)\b(gon|wan)(na)\b", "$1 $2"),
+    (r"(?i)\b(got)(ta)\b", "$1 $2"),
+    (r"(?i)\b(gim|lem)(me)\b", "$1 $2"),
+    (r"(?i) ('t)(is|was)\b", " $1 $2"),
+)
+#: And back, over tokens joined by single spaces with one before and after.
+TREEBANK_BACK = (
+    (r"(?i) (can) (not) ", " $1$2 "),
+    (r"(?i) (gon|wan) (na) ", " $1$2 "),
+    (r"(?i) (got) (ta) ", " $1$2 "),
+    (r"(?i) (gim|lem) (me) ", " $1$2 "),
+    (r"(?i) ('t) (is|was) ", " $1$2 "),
+    (r"([^ ']) ('[sSmMdD]|'ll|'LL|'re|'RE|'ve|'VE|n't|N'T) ", "$1$2 "),
+    (r" '' ", "\" "),
+    (r" `` ", " \""),
+    (r" -- ", "--"),
+    (r" ([,:;?!.%\])}>])", "$1"),
+    (r"([(\[{<#$]) ", "$1"),
+    (r"\A +| +\z", ""),
+)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"\A\s+|\s+\z", "")
 
@@ -49,6 +87,22 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+(?:['.\-][\p{L}\p{N}]+)*|[^\s]"), F.lit(0))
 
 
+def _rewritten(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, new in rules:
+        text = F.regexp_replace(text, pattern, new)
+    return text
+
+
+def treebank_tokens(text: Column) -> Column:
+    """Penn Treebank tokens of one sentence: marks, brackets and quotes (as `` and '') apart, contractions split."""
+    return F.filter(F.split(_rewritten(text, TREEBANK), r"[ \t\n\f\r]+"), lambda w: w != "")
+
+
+def treebank_text(tokens: Column) -> Column:
+    """The sentence of :func:`treebank_tokens`; what spaces stood around marks is not known any more."""
+    return _rewritten(F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")), TREEBANK_BACK)
+
+
 def detokenized(tokens: Column) -> Column:
     """Tokens joined by spaces, without one before closing or after opening marks."""
     joined = F.array_join(tokens, " ")
