@@ -12,9 +12,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.functions import metrics, stats
+from wordloom.functions import metrics, stats, stems
 from wordloom.functions.chars import ascii_lower
-from wordloom.operators import perturb, phonetic, posterior, prior, report, study, tokens
+from wordloom.operators import evaluation, perturb, phonetic, posterior, prior, report, study, tokens
 from wordloom.plans import restore
 from wordloom.sources import readers
 from wordloom.streaming import sentences
@@ -349,3 +349,31 @@ def test_stream(spark, tmp_path):
     q.stop()
     batch = sentences.attacked(spark.read.parquet(str(tmp_path / "in")), "id", "text", [("disemvowel", 0.5)])
     assert sorted(map(str, spark.table("attacked_stream").collect())) == sorted(map(str, batch.collect()))
+
+
+def test_chunks_are_contiguous_and_near_equal(spark):
+    r = random.Random(4)
+    numbers = [None, None, *[r.randint(-5, 5) for _ in range(60)], *range(100, 140)]
+    words = [None, "", "\u00e9", *["".join(r.choice("abc") for _ in range(r.randint(0, 5))) for _ in range(50)]]
+    for values, kind in ((numbers, "int"), (words, "string"), ([1, 2], "int"), ([None], "double"), ([], "string"), ([], "long")):
+        got = study.in_chunks(spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"v {kind}, i int"), "v", 4, ranges=8).collect()
+        assert sorted(x.i for x in got) == list(range(len(values)))
+        own = [sorted(((x.v is not None, x.v) for x in got if x.chunk == c), key=lambda t: (t[0], t[1] if t[0] else 0)) for c in range(4)]
+        assert [len(c) for c in own] == [len(values) // 4 + (c < len(values) % 4) for c in range(4)]
+        flat = [v for c in own for _, v in c]
+        assert [v for v in flat if v is not None] == sorted(v for v in values if v is not None) and all(v is None for v in flat[: values.count(None)])
+
+
+def test_stems_of_published_examples(spark):
+    examples = """caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat
+    troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit
+    rational ration valenci valenc digitizer digit radically radic vileli vile operator oper feudalism feudal decisiveness decis hopefulness hope formaliti formal
+    sensitiviti sensit triplicate triplic formative form formalize formal electrical electr goodness good revival reviv allowance allow inference infer airliner airlin
+    adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt communism commun activate activ effective effect
+    bowdlerize bowdler probate probat rate rate cease ceas controlling control roll roll generalizations gener oscillators oscil""".split()
+    words, want = examples[::2], examples[1::2]
+    assert column(spark, words, stems.stem) == want
+    assert column(spark, ["", "is", None, "7", "42nd"], stems.stem) == ["", "is", None, "7", "42nd"]
+    assert column(spark, ["Cats RUNNING its"], lambda c: stems.stems(F.split(c, " "))) == [["cat", "run", "its"]]
+    pair = spark.createDataFrame([("he was running home", "he was runs home")], "text string, attacked string")
+    assert evaluation.scored(pair, stemmed=True).head().rouge1 == 1.0 and evaluation.scored(pair).head().rouge1 == 0.75

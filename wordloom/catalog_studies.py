@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import _BENCH_WORDS, _LAB, _PAIR_TOKENS, _TOKENS, _U, _WORDS, LEVEL, ORACLE_SQL, SEED, _attacked_words, bench_tokens, bench_words, digest, labelled, neighbours, query, table
-from .functions import metrics, stats, vectors
+from .functions import metrics, stats, stems, vectors
 from .operators import evaluation, legacy, lookalike, perturb, prior, spelling, study, tokens
 from .plans import restore
 from .sources import readers
@@ -286,6 +286,13 @@ def mover_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.relaxed_mover(e.withColumn("g", F.col("g") - 1), e, ["g"], "embedding").withColumn("distance", F.round("distance", 6))
 
 
+@query("SELECT doc_id, n_chars, ntile(7) OVER (ORDER BY n_chars, doc_id) - 1 AS chunk FROM documents")
+def documents_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven near equal parts of the documents by length, then id."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars").withColumn("_order", F.col("n_chars").cast("decimal(38,0)") * F.lit(10**12).cast("decimal(38,0)") + F.col("doc_id"))
+    return study.in_chunks(d, "_order", 7).select("doc_id", "n_chars", F.col("chunk").cast("long").alias("chunk"))
+
+
 # ---- prior, readings and scores against plain SQL ----
 
 @query("WITH a AS (" + ORACLE_SQL["attack_disemvowel"] + f"""), t AS (SELECT DISTINCT unnest(regexp_extract_all(lower(attacked), '[a-z]+')) AS token FROM a), {_BENCH_WORDS}, u AS (SELECT DISTINCT word FROM w),
@@ -317,3 +324,9 @@ SELECT l.item_id, round(c[len(c)] / len(h)::DOUBLE, 6) AS rouge_l FROM l JOIN p
 def rouge_l_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "benchmark").join(_attacked_words(spark, sf_dir, "truncate"), "item_id")
     return pairs.select("item_id", F.round(metrics.rouge_l_precision(F.split("text", " "), F.split("attacked", " ")), 6).alias("rouge_l"))
+
+
+@query(f"WITH {_BENCH_WORDS}, u AS (SELECT word, count(*) AS n FROM w GROUP BY word), {stems.stem_sql('u')} SELECT word, stem, n FROM stems_")
+def stemmed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = bench_words(spark, sf_dir).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return u.select("word", stems.stem(F.col("word")).alias("stem"), "n")

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import metrics, stats
 from ..functions.chars import uniform
+from ..functions.stems import stems
 from .study import last_wins
 
 
@@ -18,12 +19,13 @@ def normal(text: Column) -> Column:
     return F.regexp_replace(F.trim(F.lower(text)), r"\.\z", "")
 
 
-def scored(pairs: DataFrame, ref: str = "text", hyp: str = "attacked") -> DataFrame:
-    """pairs with bleu, rouge1, rouge4, rougel, distance and perfect, over tokens between spaces."""
+def scored(pairs: DataFrame, ref: str = "text", hyp: str = "attacked", stemmed: bool = False) -> DataFrame:
+    """pairs with bleu, rouge1, rouge4, rougel, distance and perfect, over tokens between spaces; the rouge scores over their stems if asked for."""
     r, h = F.split(ref, " "), F.split(hyp, " ")
+    x, y = (stems(r), stems(h)) if stemmed else (r, h)
     return pairs.withColumns({
-        "bleu": metrics.bleu(r, h), "rouge1": metrics.rouge_n_precision(r, h, 1), "rouge4": metrics.rouge_n_precision(r, h, 4),
-        "rougel": metrics.rouge_l_precision(r, h), "distance": metrics.edit_distance(F.col(ref), F.col(hyp)), "perfect": normal(F.col(ref)) == normal(F.col(hyp)),
+        "bleu": metrics.bleu(r, h), "rouge1": metrics.rouge_n_precision(x, y, 1), "rouge4": metrics.rouge_n_precision(x, y, 4),
+        "rougel": metrics.rouge_l_precision(x, y), "distance": metrics.edit_distance(F.col(ref), F.col(hyp)), "perfect": normal(F.col(ref)) == normal(F.col(hyp)),
     })
 
 

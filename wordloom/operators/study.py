@@ -5,9 +5,11 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.chars import uniform
+from .tokens import numbered
 
 
 def sample_per_group(df: DataFrame, by: list[str], key: str, k: int, seed: int = 0) -> DataFrame:
@@ -68,9 +70,24 @@ def last_wins(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def in_chunks(df: DataFrame, order: str, n: int) -> DataFrame:
-    """df with chunk (0 to n - 1): contiguous and near equal."""
-    return df.withColumn("chunk", F.ntile(n).over(Window.orderBy(order)) - 1)
+def in_chunks(df: DataFrame, order: str, n: int, ranges: int = 256) -> DataFrame:
+    """df with chunk (0 to n - 1): contiguous by a number or a string, near equal; nulls first, ties in any order.
+
+    Rows are ordered inside ranges only: those between quantiles of the numbers, or of strings with equal first characters.
+    """
+    if isinstance(df.schema[order].dataType, T.NumericType):
+        bounds = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.2 / ranges)))
+        place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))) if bounds else F.lit(0)
+        place = F.when(F.col(order).isNull(), F.lit(-1)).otherwise(place)
+    else:
+        place = F.coalesce(F.substring(order, 1, 3), F.lit(""))
+    rows = df.withColumn("_range", place)
+    total = rows.count()
+    small, more = divmod(total, n)
+    ranked = numbered(rows, ["_range"], [F.col("_range")], order)
+    edge = more * (small + 1)
+    chunk = F.when(F.col("rank") < edge, F.floor(F.col("rank") / (small + 1))).otherwise(more + F.floor((F.col("rank") - edge) / max(1, small)))
+    return ranked.select(*df.columns, chunk.cast("int").alias("chunk"))
 
 
 def keyed_shuffle(df: DataFrame, key: str, seed: int = 0) -> DataFrame:

@@ -125,12 +125,16 @@ def ranked(df: DataFrame, lead: str, word: str, falling: bool = False, prefix: i
     Rows are ordered in groups of one lead and the first characters of the word; only the table of these groups, with their numbers
     of rows, is ordered as a whole.
     """
-    order = F.desc(lead) if falling else F.col(lead)
     rows = df.withColumn("_head", F.substring(word, 1, prefix))
-    groups = rows.groupBy(lead, "_head").agg(F.count(F.lit(1)).alias("_n"))
-    before = groups.select(lead, "_head", (F.sum("_n").over(Window.orderBy(order, "_head").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_before"))
-    at = F.row_number().over(Window.partitionBy(lead, "_head").orderBy(word)) - 1
-    return rows.join(before, [lead, "_head"]).withColumn("rank", (F.col("_before") + at).cast("long")).select(*df.columns, "rank")
+    return numbered(rows, [lead, "_head"], [F.desc(lead) if falling else F.col(lead), F.col("_head")], word).select(*df.columns, "rank")
+
+
+def numbered(df: DataFrame, groups: list[str], order: list[Column], inside: str) -> DataFrame:
+    """df with rank from 0: groups (without nulls) in order, rows inside a group by a column. Only the table of groups is ordered in one task."""
+    sizes = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(*groups, (F.sum("_n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_before"))
+    at = F.row_number().over(Window.partitionBy(*groups).orderBy(inside)) - 1
+    return df.join(before, groups).withColumn("rank", (F.col("_before") + at).cast("long")).drop("_before")
 
 
 def frequency_rank(tokens: DataFrame, word: str = "token") -> DataFrame:
