@@ -532,3 +532,79 @@ def test_cells_of_two_parts_link_between_them():
     d = media.descriptors(b).tobytes()
     cell = pd.DataFrame({"id": [1, 2], "component": [1, 2], "part": [0, 1], "members": [d, d]})
     assert media._block(cell)[["a", "b"]].to_numpy().tolist() in ([[2, 1]], [[1, 2]])
+
+
+def _edited_images():
+    r = np.random.default_rng(8)
+    base = [media.resize(r.random((8, 8)) * 255, 48, 48).round().astype(np.uint8) for _ in range(14)]
+    noisy = [np.clip(b + r.normal(0, 5, b.shape), 0, 255).round().astype(np.uint8) for b in base]
+    small = [media.resize(b.astype(float), 40, 40).round().astype(np.uint8) for b in base]
+    family = [np.clip(base[0] + r.normal(0, 5, base[0].shape), 0, 255).round().astype(np.uint8) for _ in range(8)]
+    images = base + noisy + small + [np.rot90(b).copy() for b in base] + family
+    return [images[k] for k in r.permutation(len(images))]
+
+
+def _all_links(members):
+    return {(i, j) for j in range(len(members)) for i in range(j) if media._linked(members[i], members[j])}
+
+
+def test_every_link_of_a_cell_is_found():
+    import pandas as pd
+
+    d = [media.descriptors(x).tobytes() for x in _edited_images()]
+    links = _all_links(d)
+    cell = pd.DataFrame({"id": range(len(d)), "component": range(len(d)), "part": 0, "members": d})
+    found = [tuple(x) for x in media._block(cell.sample(frac=1, random_state=1))[["a", "b"]].to_numpy().tolist()]
+    assert len(links) > 60 and sorted(found) == sorted(links)
+    cell["part"] = cell["id"] % 3 // 2
+    found = [tuple(x) for x in media._block(cell)[["a", "b"]].to_numpy().tolist()]
+    assert sorted(found) == sorted((i, j) for i, j in links if i % 3 // 2 != j % 3 // 2)
+
+
+def test_links_at_the_limits_of_distance_and_number():
+    """Each match is as far as it may be, by the same bits, which lie in all of 24 sets of 16 (once the keys of the search)."""
+    import pandas as pd
+
+    r = np.random.default_rng(2)
+    sets = [set(np.random.default_rng(9 + t).permutation(256)[:16].tolist()) for t in range(24)]
+    flip = []
+    while left := [s for s in sets if not s & set(flip)]:
+        flip.append(max(range(256), key=lambda b: sum(b in s for s in left)))
+    flip += [b for b in range(256) if b not in flip][: media.MAX_DISTANCE - len(flip)]
+    for n, last in ((media.MIN_AGREE, None), (media.CORNERS, 255)):
+        a = np.zeros(n, media._RECORD)
+        bits = r.integers(0, 2, (n, 256), dtype=np.uint8)
+        if last:
+            bits[-1] = 1
+        a["x"], a["y"], a["d"] = r.random(n) * 200, r.random(n) * 200, np.packbits(bits, axis=1)
+        b, far = a.copy(), a.copy()
+        bits[:, flip] ^= 1
+        b["d"] = np.packbits(bits, axis=1)
+        bits[: n - int(np.ceil(max(media.MIN_AGREE, media.SHARE * n))) + 1, [k for k in range(256) if k not in flip][0]] ^= 1
+        far["d"] = np.packbits(bits, axis=1)
+        b["x"] += 3
+        cell = pd.DataFrame({"id": [1, 2], "component": [1, 2], "part": [0, 0]})
+        assert media._linked(a.tobytes(), b.tobytes()) and not media._linked(a.tobytes(), far.tobytes())
+        assert len(media._block(cell.assign(members=[a.tobytes(), b.tobytes()]))) == 1
+        assert len(media._block(cell.assign(members=[a.tobytes(), far.tobytes()]))) == 0
+        assert len(media._block(cell.assign(members=[a.tobytes(), a.tobytes()]))) == 1
+
+
+def test_numbers_of_links_are_whole(spark):
+    images = _edited_images()
+    links = _all_links([media.descriptors(x).tobytes() for x in images])
+    rows = [(i, *x.shape, x.tobytes()) for i, x in enumerate(images)]
+    rows += [(100 + i, *images[5].shape, images[5].tobytes()) for i in range(3)] + [(None, *images[5].shape, images[5].tobytes())]
+    size = {i: 4 if i == 5 else 1 for i in range(len(images))}
+    expected = {i: size[i] - 1 + sum(size[b if a == i else a] for a, b in links if i in (a, b)) for i in range(len(images))}
+    got = media.image_copies(spark.createDataFrame(rows, "id long, height int, width int, pixels binary")).collect()
+    assert len(got) == len(rows) and {r.id: r.n_links for r in got} == expected | {100 + i: expected[5] for i in range(3)} | {None: 0}
+    assert [r.component_id for r in got if r.id is None] == [None]
+
+
+def test_numbers_of_links_do_not_depend_on_blocks(spark, monkeypatch):
+    rows = [(i, *x.shape, x.tobytes()) for i, x in enumerate(_edited_images())]
+    df = spark.createDataFrame(rows, "id long, height int, width int, pixels binary")
+    whole = sorted(tuple(r) for r in media.image_copies(df).collect())
+    monkeypatch.setattr(media, "BLOCK_ROWS", 16)
+    assert sorted(tuple(r) for r in media.image_copies(df).collect()) == whole and sum(r[3] for r in whole) > 120

@@ -1,14 +1,13 @@
 """Copies of images by local descriptors, also where they are cropped or edited.
 
 Corners (Harris) of a grey image are found at several scales; a patch around each is turned by its intensity
-centroid and sampled by pairs of points, whose comparisons make a binary descriptor. Random bits of the descriptors are the keys of
-TABLES Hamming tables; images that have two descriptors within MAX_DISTANCE under one key are compared as a whole: descriptors within
-that distance are matched both ways, and a similarity transform (shift, turn, scale) on which enough matches agree makes a link. Links
-close to components. Images with equal pixels form one class, which takes part once. Classes are compared in blocks of two parts of
-the table; the tables are built inside a block, and pairs that are already connected there aren't compared again.
+centroid and sampled by pairs of points, whose comparisons make a binary descriptor. Every pair of images is compared: descriptors
+within MAX_DISTANCE that are nearest both ways are matched, and a similarity transform (shift, turn, scale) on which enough matches agree
+makes a link. Links close to components. Images with equal pixels form one class, which takes part once. Classes are compared in blocks
+of two parts of the table; a block gives what its links connect and their number for each class, no list of pairs.
 
-Two descriptors at MAX_DISTANCE share a key of a table with probability C(200, 16) / C(256, 16) = 0.017. A pair of MIN_AGREE matches at that
-distance, with independent places of the differing bits, so stays uncompared with probability 0.983 ** (9 * 24) = 0.03, one of 18 matches with 0.0007.
+Distances of all descriptors are exact products of matrices, and transforms of the pairs with enough matches are tried together; what
+rounding could decide is left to `agree`, which is the rule. So no link is lost, and work grows with the square of the table.
 
 Defined cases: null, empty or too small images and those with fewer than MIN_AGREE corners have no descriptors and
 link with exact copies only (null ones with nothing); repeated ids are linked; a null id stays alone; extra columns are ignored.
@@ -28,10 +27,12 @@ from .common import cut
 from .components import components
 
 SCALES, CORNERS, BITS, PATCH, TURNS = (1.0, 0.75, 0.5), 40, 256, 7, 32
-#: Images of up to 2 KB of descriptors to a block side at most, parts into which also small tables are dealt, and pairs of descriptors that are compared at once.
-BLOCK_ROWS, LEAST_PARTS, CHUNK = 4096, 4, 1 << 20
-#: Bits of a key, number of tables, and what makes a link: distance of matches, their number, its share of the corners, pixels of error.
-KEY_BITS, TABLES, MAX_DISTANCE, MIN_AGREE, SHARE, TOLERANCE = 16, 24, 56, 9, 0.45, 3.0
+#: Images of up to 2 KB of descriptors to a block side at most, and parts into which also small tables are dealt.
+BLOCK_ROWS, LEAST_PARTS = 4096, 4
+#: Images of a side, pairs of descriptors that are compared at once, pairs of images whose matches wait for each other and are tried together.
+SIDE, PRODUCT, WAITING, COLUMNS = 64, 1 << 19, 1 << 14, 2048
+#: What makes a link: distance of matches, their number, its share of the corners, pixels of error.
+MAX_DISTANCE, MIN_AGREE, SHARE, TOLERANCE = 56, 9, 0.45, 3.0
 _RECORD = np.dtype([("x", "<f4"), ("y", "<f4"), ("s", "<f4"), ("d", "u1", BITS // 8)])
 
 
@@ -89,17 +90,6 @@ def descriptors(img: np.ndarray) -> np.ndarray:
     return out
 
 
-_KEY_PLACES = np.stack([np.random.default_rng(9 + t).permutation(BITS)[:KEY_BITS] for t in range(TABLES)])
-
-
-def keys(d: np.ndarray, table: int) -> np.ndarray:
-    """The key of each descriptor (rows of bytes) in a Hamming table."""
-    out = np.zeros(len(d), np.uint16)
-    for place in _KEY_PLACES[table]:
-        out = (out << np.uint16(1)) | ((d[:, place >> 3] >> (7 - (place & 7))) & 1)
-    return out
-
-
 def _words(records: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(records["d"]).view(np.uint64)
 
@@ -134,67 +124,145 @@ def _linked(x: bytes, y: bytes) -> bool:
     return agree(a, b, least) >= least
 
 
-def _block(cell: pd.DataFrame) -> pd.DataFrame:
-    """Links that connect what the candidate pairs of a cell connect, without links inside what is connected already."""
-    cell = cell.sort_values("id")
-    ids, part, data = cell["id"].to_numpy(), cell["part"].to_numpy(), cell["members"].tolist()
+def _side(records: list[np.ndarray], which: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Images (their numbers, left and right factors of distances, weights, places and numbers of corners) of n corners at most.
+
+    A product of a left and a right factor has the common bits of two descriptors in its second byte, exactly, as all sums
+    are integers below 2 ** 24. Missing corners are far from all.
+    """
+    bits, place = np.zeros((n, len(which), BITS), np.float32), np.zeros((2, n, len(which)), np.float32)
+    weight = np.full((n, len(which)), 200, np.int32)
+    for k, i in enumerate(which.tolist()):
+        r = records[i]
+        bits[: len(r), k] = np.unpackbits(r["d"], axis=1)
+        weight[: len(r), k] = bits[: len(r), k].sum(-1)
+        place[:, : len(r), k] = r["x"], r["y"]
+    x, y = bits[..., : BITS // 2], bits[..., BITS // 2 :]
+    return which, x + 256 * y, y + 256 * x, weight, place, np.array([len(records[i]) for i in which])
+
+
+def _sides(records: list[np.ndarray], which: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Sides of images with about as many corners."""
+    padded = np.array([-(-len(records[i]) // 4) * 4 for i in which])
+    groups = [(n, which[padded == n]) for n in np.unique(padded).tolist()]
+    return [_side(records, own[at : at + SIDE], n) for n, own in groups for at in range(0, len(own), SIDE)]
+
+
+def _matched(a: tuple, b: tuple, part: slice) -> tuple[np.ndarray, ...]:
+    """Image pairs (x, y) of a part of a side and another that have enough matches, their numbers and least numbers, and places of all their matches, pair by pair."""
+    (left, p, _, weight, z, size), (right, _, q, heavy, w, other) = a, b
+    left, p, weight, z, size = left[part], p[:, part], weight[:, part], z[:, :, part], size[part]
+    n, m = len(weight), len(heavy)
+    # 4096 * distance + 64 * left corner + right corner, modulo 512 * 4096
+    near = (p.reshape(n * len(left), -1) @ q.reshape(m * len(right), -1).T).astype(np.int32)
+    near <<= 5
+    near &= -8192
+    np.subtract((4096 * weight + 64 * np.arange(n, dtype=np.int32)[:, None]).reshape(-1, 1), near, out=near)
+    near += (4096 * heavy + np.arange(m, dtype=np.int32)[:, None]).reshape(-1)
+    near &= 512 * 4096 - 1
+    near = near.reshape(n, len(left), m, len(right))
+    back, near = near.min(0), near.min(2)
+    j = near & 63
+    g, h = np.arange(len(left), dtype=np.int32)[:, None], np.arange(len(right), dtype=np.int32)
+    match = (back.ravel().take((g * m + j) * len(right) + h) == near) & (near < 4096 * (MAX_DISTANCE + 1))
+    count, least = match.sum(0, dtype=np.int32), np.maximum(MIN_AGREE, SHARE * np.minimum(size[:, None], other))
+    g, h = np.nonzero(count >= least)
+    of, i = np.nonzero(match[:, g, h].T)
+    return left[g], right[h], count[g, h], least[g, h], z[:, i, g[of]], w[:, j[i, g[of], h[of]], h[of]]
+
+
+def _agreeing(z: np.ndarray, w: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For columns of matches (xy, match, column), as many in each: whether least of them agree on a transform as in :func:`agree`, and whether that is too close to tell here."""
+    linked, close = np.zeros(len(least), bool), np.zeros(len(least), bool)
+    left, e = np.arange(len(least)), 1e-3 + 1e-5 * max(np.abs(z).max(initial=0), np.abs(w).max(initial=0))
+    for p in range(z.shape[1]):
+        (x, y), (u, v) = z - z[:, p : p + 1], w - w[:, p : p + 1]
+        settled = np.zeros(len(left), bool)
+        for q in range(p + 1, z.shape[1]):
+            far = x[q] ** 2 + y[q] ** 2
+            by = 1 / np.where(far > (6 - e) ** 2, far, np.inf)  # no turn and no scale where the matches are too near each other
+            c, s = (u[q] * x[q] + v[q] * y[q]) * by, (v[q] * x[q] - u[q] * y[q]) * by
+            scale = c**2 + s**2
+            error = (c * x - s * y - u) ** 2 + (s * x + c * y - v) ** 2
+            fit = ((error <= (TOLERANCE + e) ** 2).sum(0, dtype=np.int32) >= least) & (scale > (0.4 - e) ** 2) & (scale < (2.5 + e) ** 2) & ~settled
+            t = np.flatnonzero(fit)
+            if len(t):
+                sure = ((error[:, t] <= (TOLERANCE - e) ** 2).sum(0) >= least[t]) & (far[t] > (6 + e) ** 2) & (scale[t] > (0.4 + e) ** 2) & (scale[t] < (2.5 - e) ** 2)
+                settled[t[sure]] = linked[left[t[sure]]] = True
+                close[left[t]] = True
+                if settled.all():
+                    break
+        if settled.any():
+            z, w, least, left = z[..., ~settled], w[..., ~settled], least[~settled], left[~settled]
+            if not len(left):
+                break
+    return linked, close & ~linked
+
+
+def _pairs(cell: pd.DataFrame) -> np.ndarray:
+    """All pairs of rows of a cell (sorted by id and members; of two parts: one of each) that are linked, as columns."""
+    part, data = cell["part"].to_numpy(), cell["members"].tolist()
     between = part.min() != part.max()  # each part has a cell of its own besides
-    n, records = len(ids), [np.frombuffer(x, _RECORD) for x in data]
-    owner = np.repeat(np.arange(n), [len(r) for r in records])
-    d = np.concatenate([r["d"] for r in records])
-    words = np.concatenate([_words(r) for r in records])
-    above, comp, tried, out = list(range(n)), np.arange(n), np.zeros((n, n), bool), []
-
-    def root(i: int) -> int:
-        while above[i] != i:
-            above[i] = above[above[i]]
-            i = above[i]
-        return i
-
-    def compare(x: np.ndarray, y: np.ndarray) -> None:
-        """Links of the images of descriptors x and y that are near each other."""
-        a, b = owner[x], owner[y]
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        fit = (comp[a] != comp[b]) & ~tried[a, b]
-        if between:
-            fit &= part[a] != part[b]
-        near = np.bitwise_count(words[x[fit]] ^ words[y[fit]]).sum(axis=1, dtype=np.int32) <= MAX_DISTANCE
-        before = len(out)
-        for code in np.unique((a * n + b)[fit][near]).tolist():
-            i, j = divmod(code, n)
-            if root(i) == root(j):
-                continue
-            if _linked(data[i], data[j]):
-                above[max(root(i), root(j))] = min(root(i), root(j))
-                out.append((ids[i], ids[j]))
-            else:
-                tried[i, j] = True
-        if len(out) > before:
-            comp[:] = [root(i) for i in range(n)]
-
-    for t in range(TABLES):  # neighbours in a bucket first, so that large groups close early
-        key = keys(d, t)
-        order = np.argsort(key, kind="stable")
-        for step in (1, 2):
-            x, y = order[step:], order[:-step]
-            same = key[x] == key[y]
-            compare(x[same], y[same])
-    for t in range(TABLES):
-        key = keys(d, t)
-        order = np.lexsort((comp[owner], key))  # each is compared with those of lower components in its bucket
-        k, c = key[order], comp[owner][order]
-        new_key = np.r_[True, k[1:] != k[:-1]] if len(k) else np.empty(0, bool)
-        new_run = new_key | np.r_[True, c[1:] != c[:-1]] if len(k) else new_key
-        at = np.arange(len(k))
-        start, run = np.maximum.accumulate(np.where(new_key, at, 0)), np.maximum.accumulate(np.where(new_run, at, 0))
-        count = run - start
-        total, low = np.r_[0, np.cumsum(count)], 0
-        while low < total[-1]:
-            pair = np.arange(low, min(low + CHUNK, total[-1]))
-            x = np.searchsorted(total, pair, side="right") - 1
-            compare(order[x], order[start[x] + pair - total[x]])
-            low += CHUNK
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    records = [np.frombuffer(x, _RECORD) for x in data]
+    able = np.flatnonzero([len(r) >= MIN_AGREE for r in records])
+    lefts = _sides(records, able[part[able] == part.min()])
+    rights = _sides(records, able[part[able] != part.min()]) if between else lefts
+    found, waiting, held = [np.empty((2, 0), int)], {}, 0
+
+    def settle() -> None:
+        for chunks in waiting.values():
+            x, y, least, z, w = (np.concatenate(c, axis=-1) for c in zip(*chunks, strict=True))
+            for at in range(0, len(x), COLUMNS):
+                i, j = x[at : at + COLUMNS], y[at : at + COLUMNS]
+                linked, close = _agreeing(z[..., at : at + COLUMNS], w[..., at : at + COLUMNS], least[at : at + COLUMNS])
+                linked[close] = [_linked(data[k], data[o]) for k, o in zip(i[close].tolist(), j[close].tolist(), strict=True)]
+                found.append(np.stack((i[linked], j[linked])))
+        waiting.clear()
+
+    for k, a in enumerate(lefts):
+        for b in rights if between else rights[k:]:
+            step = max(1, PRODUCT // (a[3].shape[0] * b[3].size))
+            for at in range(0, len(a[0]), step):
+                x, y, count, least, z, w = _matched(a, b, slice(at, at + step))
+                start = np.cumsum(count) - count
+                for n in np.unique(count).tolist():
+                    own = np.flatnonzero((count == n) & ((x < y) | (a is not b)))
+                    match, up = start[own] + np.arange(n)[:, None], x[own] < y[own]  # the transform leads from the row that comes first
+                    u, v = z[:, match], w[:, match]
+                    waiting.setdefault(n, []).append((np.minimum(x[own], y[own]), np.maximum(x[own], y[own]), least[own], np.where(up, u, v), np.where(up, v, u)))
+                    held += len(own)
+            if held >= WAITING:
+                settle()
+                held = 0
+    settle()
+    return np.concatenate(found, axis=1)
+
+
+def _ordered(cell: pd.DataFrame) -> pd.DataFrame:
+    return cell.sort_values(["id", "members"], kind="stable", ignore_index=True)
+
+
+def _block(cell: pd.DataFrame) -> pd.DataFrame:
+    """All links of a cell."""
+    cell = _ordered(cell)
+    ids = cell["id"].to_numpy()
+    return pd.DataFrame(ids[_pairs(cell)].T, columns=["a", "b"])
+
+
+def _summary(cell: pd.DataFrame) -> pd.DataFrame:
+    """What the links of a cell connect (a, b: least of what is connected there), and the number of links (by rows) of each class."""
+    cell = _ordered(cell)
+    ids, rows, (a, b) = cell["id"].to_numpy(), cell["rows"].to_numpy(), _pairs(cell)
+    links, least, before = np.zeros(len(ids), int), np.arange(len(ids)), None
+    np.add.at(links, a, rows[b])
+    np.add.at(links, b, rows[a])
+    while before is None or (least != before).any():
+        before, low = least.copy(), np.minimum(least[a], least[b])
+        np.minimum.at(least, a, low)
+        np.minimum.at(least, b, low)
+        least = least[least]
+    of = np.flatnonzero(links)
+    return pd.DataFrame({"a": ids[of], "b": ids[least[of]], "pixel_hash": cell["pixel_hash"].to_numpy()[of], "links": links[of]})
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,27 +276,29 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _links(classes: DataFrame) -> DataFrame:
-    """Links (a, b) by blocks of two parts of the classes (id, members)."""
+    """What links by blocks of two parts of the classes (id, pixel_hash, rows, members) connect, and their number."""
     n = classes.count()
     parts = max(1, -(-n // BLOCK_ROWS), min(LEAST_PARTS, n // 256))
     cells = classes.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    cells = cells.select(F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "part", "members")
+    cells = cells.select(F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "part", "pixel_hash", "rows", "members")
     tasks = min(2 * parts * (parts + 1), 16 * cells.sparkSession.sparkContext.defaultParallelism)
     cells = cells.repartition(max(1, tasks), "i", "j")  # by number, as cells of few bytes and much work mustn't be coalesced
-    return cells.groupBy("i", "j").applyInPandas(_block, "a long, b long").distinct()
+    return cells.groupBy("i", "j").applyInPandas(_summary, "a long, b long, pixel_hash binary, links long")
 
 
 def image_copies(images: DataFrame) -> DataFrame:
-    """id, n_corners, component_id (least id reachable), n_links (verified links found), for each row of images (id, height, width, pixels: grey bytes by rows)."""
+    """id, n_corners, component_id (least id reachable), n_links (other rows it is linked with, those of equal pixels among them), for each row of images (id, height, width, pixels: grey bytes by rows)."""
     rows = images.select(F.col("id").cast("long").alias("id"), "pixels", "height", "width")
     described = cut(rows.mapInPandas(_describe, "id long, pixel_hash binary, n long, members binary"))
-    classes = cut(described.filter("pixel_hash is not null and id is not null").groupBy("pixel_hash").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("members").alias("members")))
-    links = cut(_links(classes.filter(F.col("n") >= MIN_AGREE).select(F.col("rep").alias("id"), "members")))
-    whole = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    named = classes.select("pixel_hash", "rep").join(whole.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    out = described.select("id", "pixel_hash", "n").join(named, "pixel_hash", "left")
-    return out.select("id", F.col("n").alias("n_corners"), F.coalesce("component", "rep", "id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    known = described.withColumn("pixel_hash", F.when(F.col("id").isNotNull(), F.col("pixel_hash")))
+    classes = cut(known.filter("pixel_hash is not null").groupBy("pixel_hash").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("members").alias("members")))
+    links = cut(_links(classes.filter(F.col("n") >= MIN_AGREE).select(F.col("rep").alias("id"), "pixel_hash", "rows", "members")))
+    whole = components(links.select("a", "b"))
+    degree = links.groupBy("pixel_hash").agg(F.sum("links").alias("links"))
+    named = classes.select("pixel_hash", "rep", "rows").join(whole.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "pixel_hash", "left")
+    out = known.select("id", "pixel_hash", "n").join(named, "pixel_hash", "left")
+    n_links = F.coalesce("links", F.lit(0)) + F.coalesce(F.col("rows") - 1, F.lit(0))
+    return out.select("id", F.col("n").alias("n_corners"), F.coalesce("component", "rep", "id").alias("component_id"), n_links.cast("long").alias("n_links"))
 
 
 def thumbnails(batches: Iterator[pd.DataFrame], side: int = 48) -> Iterator[pd.DataFrame]:
