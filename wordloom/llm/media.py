@@ -199,24 +199,24 @@ def _agreeing(z: np.ndarray, w: np.ndarray, least: np.ndarray) -> tuple[np.ndarr
     return linked, close & ~linked
 
 
-def _pairs(cell: pd.DataFrame) -> np.ndarray:
-    """All pairs of rows of a cell (sorted by id and members; of two parts: one of each) that are linked, as columns."""
+def _pairs(cell: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of a cell (sorted by id and members; of two parts: one of each) that are linked, some at a time."""
     part, data = cell["part"].to_numpy(), cell["members"].tolist()
     between = part.min() != part.max()  # each part has a cell of its own besides
     records = [np.frombuffer(x, _RECORD) for x in data]
     able = np.flatnonzero([len(r) >= MIN_AGREE for r in records])
     lefts = _sides(records, able[part[able] == part.min()])
     rights = _sides(records, able[part[able] != part.min()]) if between else lefts
-    found, waiting, held = [np.empty((2, 0), int)], {}, 0
+    waiting, held = {}, 0
 
-    def settle() -> None:
+    def settle() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for chunks in waiting.values():
             x, y, least, z, w = (np.concatenate(c, axis=-1) for c in zip(*chunks, strict=True))
             for at in range(0, len(x), COLUMNS):
                 i, j = x[at : at + COLUMNS], y[at : at + COLUMNS]
                 linked, close = _agreeing(z[..., at : at + COLUMNS], w[..., at : at + COLUMNS], least[at : at + COLUMNS])
                 linked[close] = [_linked(data[k], data[o]) for k, o in zip(i[close].tolist(), j[close].tolist(), strict=True)]
-                found.append(np.stack((i[linked], j[linked])))
+                yield i[linked], j[linked]
         waiting.clear()
 
     for k, a in enumerate(lefts):
@@ -232,10 +232,9 @@ def _pairs(cell: pd.DataFrame) -> np.ndarray:
                     waiting.setdefault(n, []).append((np.minimum(x[own], y[own]), np.maximum(x[own], y[own]), least[own], np.where(up, u, v), np.where(up, v, u)))
                     held += len(own)
             if held >= WAITING:
-                settle()
+                yield from settle()
                 held = 0
-    settle()
-    return np.concatenate(found, axis=1)
+    yield from settle()
 
 
 def _ordered(cell: pd.DataFrame) -> pd.DataFrame:
@@ -246,21 +245,23 @@ def _block(cell: pd.DataFrame) -> pd.DataFrame:
     """All links of a cell."""
     cell = _ordered(cell)
     ids = cell["id"].to_numpy()
-    return pd.DataFrame(ids[_pairs(cell)].T, columns=["a", "b"])
+    a, b = (np.concatenate([np.empty(0, int), *x]) for x in (list(zip(*_pairs(cell), strict=True)) or [(), ()]))
+    return pd.DataFrame({"a": ids[a], "b": ids[b]})
 
 
 def _summary(cell: pd.DataFrame) -> pd.DataFrame:
     """What the links of a cell connect (a, b: least of what is connected there), and the number of links (by rows) of each class."""
     cell = _ordered(cell)
-    ids, rows, (a, b) = cell["id"].to_numpy(), cell["rows"].to_numpy(), _pairs(cell)
-    links, least, before = np.zeros(len(ids), int), np.arange(len(ids)), None
-    np.add.at(links, a, rows[b])
-    np.add.at(links, b, rows[a])
-    while before is None or (least != before).any():
-        before, low = least.copy(), np.minimum(least[a], least[b])
-        np.minimum.at(least, a, low)
-        np.minimum.at(least, b, low)
-        least = least[least]
+    ids, rows = cell["id"].to_numpy(), cell["rows"].to_numpy()
+    links, least = np.zeros(len(ids), int), np.arange(len(ids))
+    for a, b in _pairs(cell):
+        np.add.at(links, a, rows[b])
+        np.add.at(links, b, rows[a])
+        while (apart := least[a] != least[b]).any():
+            a, b = a[apart], b[apart]
+            np.minimum.at(least, np.maximum(least[a], least[b]), np.minimum(least[a], least[b]))
+            while (least != least[least]).any():
+                least = least[least]
     of = np.flatnonzero(links)
     return pd.DataFrame({"a": ids[of], "b": ids[least[of]], "pixel_hash": cell["pixel_hash"].to_numpy()[of], "links": links[of]})
 
