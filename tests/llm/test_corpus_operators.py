@@ -602,6 +602,45 @@ def test_numbers_of_links_are_whole(spark):
     assert [r.component_id for r in got if r.id is None] == [None]
 
 
+def _closure(links, n):
+    near = {i: {i} for i in range(n)}
+    for i, j in links:
+        joined = near[i] | near[j]
+        near.update(dict.fromkeys(joined, joined))
+    return {(i, j) for i in near for j in near[i]}
+
+
+def test_links_on_the_jvm_are_those_of_the_rule(spark, monkeypatch):
+    """Also where the distance, the number and the error of matches are as large as they may be."""
+    r = np.random.default_rng(4)
+    members = [media.descriptors(x).tobytes() for x in _edited_images()]
+    for shift in (3, 3.001):
+        a = np.zeros(media.MIN_AGREE, media._RECORD)
+        bits = r.integers(0, 2, (len(a), 256), dtype=np.uint8)
+        a["x"], a["y"], a["d"] = r.random(len(a)) * 200, r.random(len(a)) * 200, np.packbits(bits, axis=1)
+        b, far = a.copy(), a.copy()
+        bits[:, : media.MAX_DISTANCE] ^= 1
+        b["d"] = np.packbits(bits, axis=1)
+        bits[0, media.MAX_DISTANCE] ^= 1
+        far["d"] = np.packbits(bits, axis=1)
+        b["x"][-1] = np.float32(a["x"][-1] + shift)
+        members += [x.tobytes() for x in (a, b, far)]
+    members += [members[0], members[0][: -media._RECORD.itemsize]]  # equal descriptors of unequal pixels, and a part of them
+    links = _all_links(members)
+    expected = {i: sum(1 + (b if a == i else a) % 3 for a, b in links if i in (a, b)) for i in range(len(members))}
+    rows = [(i, bytes([i]), 1 + i % 3, m) for i, m in enumerate(members)]
+    classes = spark.createDataFrame(rows, "id long, pixel_hash binary, rows long, members binary")
+    monkeypatch.setattr(media, "_summary", None)  # blocks of arrays take no part
+    for least in (64, 16):
+        monkeypatch.setattr(media, "BLOCK_ROWS", least)
+        got = media._links(classes).collect()
+        total = dict.fromkeys(expected, 0)
+        for x in got:
+            total[x.pixel_hash[0]] += x.links
+        assert total == expected and len(links) > 60
+        assert _closure([(x.a, x.b) for x in got], len(members)) == _closure(links, len(members))
+
+
 def test_numbers_of_links_do_not_depend_on_blocks(spark, monkeypatch):
     rows = [(i, *x.shape, x.tobytes()) for i, x in enumerate(_edited_images())]
     df = spark.createDataFrame(rows, "id long, height int, width int, pixels binary")

@@ -6,8 +6,9 @@ within MAX_DISTANCE that are nearest both ways are matched, and a similarity tra
 makes a link. Links close to components. Images with equal pixels form one class, which takes part once. Classes are compared in blocks
 of two parts of the table; a block gives what its links connect and their number for each class, no list of pairs.
 
-Distances of all descriptors are exact products of matrices, and transforms of the pairs with enough matches are tried together; what
-rounding could decide is left to `agree`, which is the rule. So no link is lost, and work grows with the square of the table.
+Pairs are compared on the JVM (:mod:`.jvm`). In sessions without one of their own, distances of all descriptors are exact products of
+matrices, and transforms of the pairs with enough matches are tried together. In both ways, what rounding could decide is left to `agree`,
+which is the rule. So no link is lost, and work grows with the square of the table.
 
 Defined cases: null, empty or too small images and those with fewer than MIN_AGREE corners have no descriptors and
 link with exact copies only (null ones with nothing); repeated ids are linked; a null id stays alone; extra columns are ignored.
@@ -23,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jvm
 from .common import cut
 from .components import components
 
@@ -266,6 +268,12 @@ def _summary(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": ids[of], "b": ids[least[of]], "pixel_hash": cell["pixel_hash"].to_numpy()[of], "links": links[of]})
 
 
+def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of links as they are; pairs (x, y) that rounding could decide only if the rule links them."""
+    for b in batches:
+        yield b[[x is None or _linked(x, y) for x, y in zip(b["x"], b["y"], strict=True)]].drop(columns=["x", "y"])
+
+
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
@@ -284,7 +292,12 @@ def _links(classes: DataFrame) -> DataFrame:
     cells = cells.select(F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "id", "part", "pixel_hash", "rows", "members")
     tasks = min(2 * parts * (parts + 1), 16 * cells.sparkSession.sparkContext.defaultParallelism)
     cells = cells.repartition(max(1, tasks), "i", "j")  # by number, as cells of few bytes and much work mustn't be coalesced
-    return cells.groupBy("i", "j").applyInPandas(_summary, "a long, b long, pixel_hash binary, links long")
+    compare = jvm.image_pairs(cells.sparkSession, record=_RECORD.itemsize, most=MAX_DISTANCE, least=MIN_AGREE, share=SHARE, tolerance=TOLERANCE)
+    if not compare:
+        return cells.groupBy("i", "j").applyInPandas(_summary, "a long, b long, pixel_hash binary, links long")
+    whole = cells.groupBy("i", "j").agg(F.sort_array(F.collect_list(F.struct("id", "members", "pixel_hash", "rows", "part"))).alias("cell"))
+    found = whole.select(F.explode_outer(F.call_udf(compare, "cell")).alias("l")).select("l.*").filter("a is not null")
+    return found.mapInPandas(_settled, "a long, b long, pixel_hash binary, links long")
 
 
 def image_copies(images: DataFrame) -> DataFrame:
